@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What Python's str.split() and str.strip() take for white space, as a Java character class.
 SPACES = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
@@ -105,7 +106,7 @@ def slug_of(text: str) -> str:
     return _NOT_SLUG.sub("-", plain.lower()).strip("-")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slugify(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
         yield texts.map(slug_of, na_action="ignore")

@@ -1,10 +1,374 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, each over whole tables, and their SQL.
+
+The tables have no notes of their own, so documents are read as notes (see
+`notes`), documents of one length as versions of one page at a URL, a
+document's source and language as the run that cites it, and conversations as
+reports with a section for each turn.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkwell.functions import text as T
+from inkwell.operators import index, merge, reports, search
+from inkwell.sources import notes as N
+from inkwell.sources import projects
 
+NOW = "2026-01-01T00:00:00+00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without nulls."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "n_chars")
+
+
+def _day(n: Column) -> Column:
+    return F.when(n % 7 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 30).cast("int")), "yyyy-MM-dd"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as notes: the first line is the title, kinds and days of publication follow from the identifier."""
+    n = F.col("doc_id")
+    kind = F.when(n % 10 == 0, "topic").when(n % 10 == 1, "report").when(n % 10 == 2, "note").otherwise("source")
+    folder = F.when(n % 10 == 0, "topics").when(n % 10 == 1, "reports").when(n % 10 == 2, "imported").otherwise("sources")
+    rows = _documents(spark, sf_dir).withColumns({
+        "stem": n.cast("string"), "type": kind, "path": F.concat(F.lit("notes/"), folder, F.lit("/"), n.cast("string"), F.lit(".md")), "title": F.substring_index("text", "\n", 1),
+        "url": F.concat(F.lit("https://d.test/"), F.md5("text")), "project": F.concat("source", F.lit("/"), "lang"), "topics": F.array("lang"), "projects": F.array(F.concat("source", F.lit("/"), F.col("lang"))),
+        "published": _day(n), "slug": n.cast("string"), "body": F.col("text"), "ingested_at": F.lit(NOW),
+    })
+    return merge.shaped(rows)
+
+
+_NOTES = """n AS (SELECT CAST(doc_id AS VARCHAR) AS stem, CASE doc_id % 10 WHEN 0 THEN 'topic' WHEN 1 THEN 'report' WHEN 2 THEN 'note' ELSE 'source' END AS type,
+  'notes/' || CASE doc_id % 10 WHEN 0 THEN 'topics' WHEN 1 THEN 'reports' WHEN 2 THEN 'imported' ELSE 'sources' END || '/' || doc_id || '.md' AS path,
+  split_part(coalesce(text, ''), chr(10), 1) AS title, 'https://d.test/' || md5(coalesce(text, '')) AS url, coalesce(source, '') || '/' || coalesce(lang, '') AS project,
+  CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER), '%Y-%m-%d') END AS published, coalesce(text, '') AS body FROM documents)"""
+_TOKENS = """t AS (SELECT path, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term, 1 AS w FROM n
+  UNION ALL SELECT path, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')), 3 FROM n)"""
+
+
+def _search_sql(terms: list[str], limit: int, kind: str | None = None) -> str:
+    rows = ", ".join(f"('{t}', {terms.count(t)})" for t in dict.fromkeys(terms))
+    some = " OR ".join(f"contains(lower(l), '{t}')" for t in dict.fromkeys(terms))
+    where = f"WHERE type = '{kind}'" if kind else ""
+    return f"""WITH {_NOTES}, {_TOKENS}, q(term, c) AS (VALUES {rows}),
+s AS (SELECT path, sum(w * c) AS s FROM t JOIN q USING (term) GROUP BY path),
+h AS (SELECT n.*, CAST(CASE WHEN type IN ('topic', 'report') THEN 2 * s ELSE s END AS BIGINT) AS score FROM n JOIN s USING (path) {where})
+SELECT path, CASE WHEN title = '' THEN stem ELSE title END AS title, score, url, project, coalesce(published, '') AS published, '' AS source_type,
+  substr(regexp_replace(coalesce(list_filter(string_split(body, chr(10)), lambda l: {some})[1], body), '^\\s+|\\s+$', '', 'g'), 1, 240) AS snippet
+FROM h ORDER BY score DESC, try_cast(published AS DATE) DESC NULLS LAST, split_part(path, '/', 3), path LIMIT {limit}"""
+
+
+QUESTION = "the of that of"
+
+
+@query(_search_sql(QUESTION.split(), 10))
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(notes(spark, sf_dir), QUESTION, 10)
+
+
+@query(_search_sql(QUESTION.split(), 10, "report"))
+def search_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(notes(spark, sf_dir), QUESTION, 10, "report")
+
+
+@query(f"""WITH {_NOTES}, {_TOKENS}, q(term, c) AS (VALUES ('the', 1), ('of', 2), ('that', 1))
+SELECT path, CAST(sum(w * c) AS BIGINT) AS score FROM t JOIN q USING (term) GROUP BY path""")
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note's score, through the postings that a corpus searched often would keep."""
+    return search.scores(search.postings(notes(spark, sf_dir)), QUESTION)
+
+
+@query(f"WITH {_NOTES}, {_TOKENS} SELECT term, CAST(sum(w) AS BIGINT) AS weight, count(DISTINCT path) AS notes FROM t GROUP BY term")
+def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.postings(notes(spark, sf_dir)).groupBy("term").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("notes"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))::INTEGER AS tokens FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).alias("tokens"))
+
+
+# -- what comes in
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as materials; those of one length are at one URL, of some the URL or the text is missing."""
+    n = F.col("doc_id")
+    url = F.when(n % 11 != 0, F.concat(F.lit("https://d.test/"), F.col("n_chars").cast("string")))
+    project = F.concat("source", F.lit("/"), F.col("lang"))
+    pairs = F.map_from_arrays(F.array(*map(F.lit, ["title", "url", "providers", "published"])), F.array(F.substring_index("text", "\n", 1), F.coalesce(url, F.lit("")), F.col("source"), F.coalesce(_day(n), F.lit(""))))
+    return _documents(spark, sf_dir).select(
+        project.alias("project"), n.alias("mseq"), F.concat(n.cast("string"), F.lit(".md")).alias("name"), n.cast("string").alias("stem"), pairs.alias("meta"), F.when(n % 13 != 0, F.col("text")).otherwise(" ").alias("body"), F.col("lang").alias("topic")
+    )
+
+
+def _runs(staged: DataFrame) -> DataFrame:
+    """(project, pseq, topic, summary): runs in the order of their names; there are few."""
+    few = staged.groupBy("project").agg(F.min("topic").alias("topic"))
+    return few.select("project", (F.row_number().over(Window.orderBy("project")) - 1).cast("bigint").alias("pseq"), "topic", F.concat(F.lit("What is known of "), "topic", F.lit(".")).alias("summary"))
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    staged = _staged(spark, sf_dir)
+    runs = _runs(staged)
+    passed = merge.gate_materials(staged).where("reason is null")
+    return passed.join(F.broadcast(runs.select("project", "pseq")), "project").select("project", "pseq", "mseq", "stem", "meta", "body"), runs
+
+
+_STAGED = """st AS (SELECT coalesce(source, '') || '/' || coalesce(lang, '') AS project, coalesce(lang, '') AS topic, doc_id AS mseq, doc_id || '.md' AS name, coalesce(source, '') AS providers,
+  CASE WHEN doc_id % 11 <> 0 THEN 'https://d.test/' || n_chars ELSE '' END AS url, split_part(coalesce(text, ''), chr(10), 1) AS title,
+  CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER), '%Y-%m-%d') ELSE '' END AS published,
+  CASE WHEN doc_id % 13 <> 0 THEN coalesce(text, '') ELSE ' ' END AS body FROM documents)"""
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_CITED = f"""{_STAGED}, r AS (SELECT project, min(topic) AS run_topic, row_number() OVER (ORDER BY project) - 1 AS pseq FROM st GROUP BY project),
+  c AS (SELECT st.*, pseq, run_topic, pseq * 1000000000 + mseq AS seq FROM st JOIN r USING (project) WHERE url <> '' AND {_STRIPPED.format('body')} <> '')"""
+_COLLAPSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_DESCRIBED = """CASE WHEN length(p) > 160 THEN rtrim(substr(p, 1, 159)) || '…' ELSE coalesce(p, '') END"""
+
+
+def _prose(body: str) -> str:
+    return f"list_filter(list_transform(string_split({body}, chr(10) || chr(10)), lambda x: {_COLLAPSED.format('x')}), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '!['))[1]"
+
+
+@query(f"""WITH {_STAGED}, g AS (SELECT name, CASE WHEN url = '' THEN 'no ''url'' in frontmatter' WHEN {_STRIPPED.format('body')} = '' THEN 'empty body' END AS why FROM st)
+SELECT name, 'materials/' || name || ': ' || why AS reason FROM g""")
+def provenance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.gate_materials(_staged(spark, sf_dir)).select("name", "reason")
+
+
+@query(f"""WITH {_STAGED} SELECT name, name || ': ' || CASE WHEN {_STRIPPED.format('body')} = '' THEN 'empty body' WHEN url = '' AND title = '' THEN 'no provenance frontmatter (need url/project/title)' END AS reason FROM st""")
+def notes_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.gate_notes(_staged(spark, sf_dir)).select("name", "reason")
+
+
+def _shown(sources: DataFrame) -> DataFrame:
+    lists = [F.array_join(c, ", ").alias(c) for c in ("topics", "projects")]
+    return sources.select("url", *lists, "corroboration", "title", "providers", "description", "published", F.md5("body").alias("body_md5"))
+
+
+_MERGED = f"""a AS (SELECT url, arg_max(title, seq) AS title, arg_max(providers, seq) AS providers, arg_max(body, seq) AS body, arg_max(published, seq) FILTER (WHERE published <> '') AS published FROM c GROUP BY url),
+  f AS (SELECT url, project, run_topic, min(pseq) AS pseq FROM c GROUP BY url, project, run_topic),
+  u AS (SELECT url, project, pseq FROM f), v AS (SELECT url, run_topic, min(pseq) AS pseq FROM f GROUP BY url, run_topic),
+  ps AS (SELECT url, string_agg(project, ', ' ORDER BY pseq) AS projects, CAST(count(*) AS INTEGER) AS corroboration FROM u GROUP BY url),
+  ts AS (SELECT url, string_agg(run_topic, ', ' ORDER BY pseq) AS topics FROM v GROUP BY url)"""
+
+
+def _merged_out(frm: str) -> str:
+    return f"""SELECT url, topics, projects, corroboration, {_COLLAPSED.format('title')} AS title, {_COLLAPSED.format('providers')} AS providers, {_DESCRIBED} AS description, published, md5({_STRIPPED.format('body')}) AS body_md5
+FROM (SELECT *, {_prose('body')} AS p FROM {frm})"""
+
+
+@query(f"WITH {_CITED}, {_MERGED} {_merged_out('a JOIN ps USING (url) JOIN ts USING (url)')}")
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL dedup, topic and run union, corroboration, newest fields: all runs taken into an empty base."""
+    return _shown(_sources(spark, sf_dir))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited, runs = _cited(spark, sf_dir)
+    return merge.merge_runs(N.empty(spark), cited, runs, index.run_titles(N.empty(spark)), NOW)[0]
+
+
+_AGAIN = "d AS (SELECT * FROM c WHERE mseq % 3 <> 0)"
+
+
+@query(f"""WITH {_CITED}, {_AGAIN}, {_MERGED.replace('FROM c GROUP', 'FROM d GROUP')},
+  old AS (SELECT url, arg_max(published, seq) FILTER (WHERE published <> '') AS was FROM c GROUP BY url)
+{_merged_out("(SELECT a.* EXCLUDE (published), coalesce(published, was) AS published FROM a JOIN old USING (url)) JOIN ps USING (url) JOIN ts USING (url)")}""")
+def prune_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs are taken in again without a third of their materials: runs are taken off notes, and notes that have none left are deleted."""
+    first = merge.cut(_sources(spark, sf_dir))
+    cited, runs = _cited(spark, sf_dir)
+    titles = runs.select("project", F.col("topic").alias("title"))
+    return _shown(merge.merge_runs(first, cited.where("mseq % 3 <> 0"), runs, titles, NOW)[0])
+
+
+@query(f"""WITH {_CITED}, {_AGAIN}, e AS (SELECT DISTINCT url, pseq, project FROM c), kept AS (SELECT DISTINCT url FROM d),
+  gone AS (SELECT url, arg_max(project, pseq) AS project FROM e WHERE url NOT IN (SELECT url FROM kept) GROUP BY url)
+SELECT project, count(*) AS pruned FROM gone GROUP BY project""")
+def prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletions by the run whose detachment left a note with none."""
+    first = merge.cut(_sources(spark, sf_dir))
+    cited, runs = _cited(spark, sf_dir)
+    return merge.merge_runs(first, cited.where("mseq % 3 <> 0"), runs, runs.select("project", F.col("topic").alias("title")), NOW)[1]
+
+
+def _free(staged: DataFrame) -> DataFrame:
+    more = F.map_from_arrays(F.array(F.lit("topic"), F.lit("project")), F.array(F.col("topic"), F.when(F.col("mseq") % 5 != 0, F.col("project")).otherwise("")))
+    passed = merge.gate_notes(staged).where("reason is null")
+    return passed.select(F.col("mseq").alias("seq"), "stem", F.map_concat("meta", more).alias("meta"), "body")
+
+
+@query(f"""WITH {_STAGED}, c AS (SELECT *, mseq AS seq, CASE WHEN mseq % 5 <> 0 THEN project ELSE '' END AS own, CASE WHEN topic = '' THEN 'imported' ELSE topic END AS about FROM st WHERE url <> '' AND {_STRIPPED.format('body')} <> ''),
+  a AS (SELECT url, arg_max(CASE WHEN title = '' THEN url ELSE title END, seq) AS title, arg_min(providers, seq) FILTER (WHERE providers <> '') AS providers, md5({_STRIPPED.format("arg_max(body, seq)")}) AS body_md5 FROM c GROUP BY url),
+  ts AS (SELECT url, string_agg(about, ', ' ORDER BY s) AS topics FROM (SELECT url, about, min(seq) AS s FROM c GROUP BY url, about) GROUP BY url),
+  ps AS (SELECT url, string_agg(own, ', ' ORDER BY s) AS projects FROM (SELECT url, own, min(seq) AS s FROM c WHERE own <> '' GROUP BY url, own) GROUP BY url)
+SELECT url, topics, coalesce(projects, '') AS projects, {_COLLAPSED.format('title')} AS title, {_COLLAPSED.format('providers')} AS providers, body_md5 FROM a JOIN ts USING (url) LEFT JOIN ps USING (url)""")
+def merged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free notes with a URL, taken into an empty base."""
+    out = merge.merge_notes(N.empty(spark), _free(_staged(spark, sf_dir)), NOW)
+    return out.select("url", F.array_join("topics", ", ").alias("topics"), F.array_join("projects", ", ").alias("projects"), "title", "providers", F.md5("body").alias("body_md5"))
+
+
+_SLUG = "trim(regexp_replace(lower(regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(f"""WITH {_STAGED}, i AS (SELECT *, coalesce(nullif({_COLLAPSED.format("CASE WHEN title = '' THEN CAST(mseq AS VARCHAR) ELSE title END")}, ''), '') AS own FROM st WHERE url = '' AND title <> '' AND {_STRIPPED.format('body')} <> ''),
+  s AS (SELECT *, coalesce(nullif(substr({_SLUG.format('own')}, 1, 60), ''), 'note') AS slug FROM i)
+SELECT 'notes/imported/' || slug || '.md' AS path, arg_max(own, mseq) AS title, md5({_STRIPPED.format('arg_max(body, mseq)')}) AS body_md5 FROM s GROUP BY slug""")
+def imported_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.imported_notes(_free(_staged(spark, sf_dir)), NOW).select("path", "title", F.md5("body").alias("body_md5"))
+
+
+# -- names, dates and texts
+
+
+@query(f"SELECT doc_id, {_SLUG.format('text')} AS slug FROM documents")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+
+
+@query(f"""WITH {_NOTES}, x AS (SELECT n.*, {_SLUG.format('title')} AS s FROM n)
+SELECT stem, substr(sha1(url), 1, 8) || '-' || coalesce(nullif(substr(s, 1, 60), ''), 'source') AS source_slug,
+  coalesce(nullif(substr(s, 1, 40), ''), 'topic') || '--' || coalesce(nullif(substr({_SLUG.format('project')}, 1, 32), ''), 'run') || '-' || substr(sha1(title || chr(0) || project), 1, 8) AS topic_slug,
+  coalesce(nullif(substr({_SLUG.format('project')}, 1, 40), ''), 'run') || '-' || substr(sha1(project), 1, 8) AS report_prefix FROM x""")
+def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title, project = F.col("title"), F.col("project")
+    return notes(spark, sf_dir).select("stem", T.source_slug(F.col("url"), title).alias("source_slug"), T.topic_slug(title, project).alias("topic_slug"), T.report_prefix(project).alias("report_prefix"))
+
+
+@query(f"WITH {_NOTES} SELECT stem, {_DESCRIBED} AS description FROM (SELECT stem, {_prose('body')} AS p FROM n)")
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).select("stem", T.description(F.col("body")).alias("description"))
+
+
+@query(r"""WITH p AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, ' %Y%m%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(o_orderdate, '%G-W%V-%u') ELSE strftime(o_orderdate, '%Y-%m') END AS published, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN CAST(d AS VARCHAR) END AS day FROM p""")
+def recency_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of the ISO forms that dates are written in, week dates too."""
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    week = F.concat(F.lpad(F.extract(F.lit("YEAROFWEEK"), d).cast("string"), 4, "0"), F.lit("-W"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"), F.lit("-"), (F.weekday(d) + 1).cast("string"))
+    made = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, " yyyyMMdd")).when(k == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, week).otherwise(F.date_format(d, "yyyy-MM"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", T.recency_day(made).cast("string").alias("day"))
+
+
+@query("SELECT page_id, url, md5(html) AS body_md5 FROM pages")
+def frontmatter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages put behind a block of metadata and taken apart again."""
+    texts = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("---\nkind: old\nurl: "), "url", F.lit("\nno pair\nkind:page\n---\n\n"), T.newlines(F.col("html"))).alias("text"))
+    return N.parsed(texts).where("meta['kind'] = 'page'").select("page_id", F.col("meta")["url"].alias("url"), F.md5("body").alias("body_md5"))
+
+
+@query(f"""WITH {_NOTES} SELECT path, md5('---' || chr(10) || 'title: ' || {_COLLAPSED.format('title')} || chr(10) || 'slug: ' || stem || chr(10) || 'type: ' || type || chr(10) || CASE type
+  WHEN 'source' THEN 'url: ' || url || chr(10) || 'topics: ' || split_part(project, '/', 2) || chr(10) || 'projects: ' || project || chr(10) || 'providers: ' || CASE WHEN published IS NULL THEN '' ELSE chr(10) || 'published: ' || published END
+  WHEN 'topic' THEN 'project: ' || project || chr(10) || 'source_count: ' WHEN 'report' THEN 'project: ' || project || chr(10) || 'topics: ' || split_part(project, '/', 2) ELSE 'topics: ' || split_part(project, '/', 2) || chr(10) || 'project: ' || project END
+  || chr(10) || 'ingested_at: {NOW}' || chr(10) || '---' || chr(10) || chr(10) || {_STRIPPED.format('body')} || chr(10)) AS text_md5 FROM n""")
+def frontmatter_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.rendered(notes(spark, sf_dir)).select("path", F.md5("text").alias("text_md5"))
+
+
+# -- reports
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null")
+    part = F.struct("turn", F.concat(F.lit("## "), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("ts"))
+    return whole.select(F.col("conv_id").cast("string").alias("project"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("text"))
+
+
+_LINES = """b AS (SELECT conv_id, string_agg('## ' || coalesce(role, '') || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM b),
+  o AS (SELECT *, sum(CASE WHEN starts_with(ltrim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) % 2 AS open FROM l),
+  s AS (SELECT *, starts_with(line, '## ') AND open = 0 AS head, CAST(sum(CASE WHEN starts_with(line, '## ') AND open = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS section FROM o),
+  g AS (SELECT conv_id, section, coalesce(max(CASE WHEN head THEN trim(substr(line, 4)) END), 'Overview') AS heading, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), '') AS raw FROM s GROUP BY conv_id, section),
+  k AS (SELECT CAST(conv_id AS VARCHAR) AS project, section, heading, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS body FROM g WHERE length(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')) >= 40)"""
+
+
+@query(f"WITH {_LINES} SELECT project, section, heading, body FROM k")
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sections(_reports(spark, sf_dir))
+
+
+@query()
+def report_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names depend on all names before them; tests hold them against a loop."""
+    return reports.section_slugs(reports.sections(_reports(spark, sf_dir))).select("project", "section", "slug")
+
+
+# -- manifests
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    entries = labels.select(F.lit("all").alias("project"), F.col("doc_id").alias("pos"), F.when(F.col("quality") == 1, "fetched").otherwise("failed").alias("status"), F.concat(F.lit("x\\"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
+    files = _documents(spark, sf_dir).where("n_chars > 100").select(F.lit("all").alias("project"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), "doc_id")
+    return entries, files
+
+
+@query("SELECT l.doc_id AS pos, d.doc_id || '.md' AS name FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1 AND n_chars > 100")
+def manifest_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.fetched(*_manifest(spark, sf_dir)).select("pos", "name")
+
+
+@query("SELECT doc_id AS pos, doc_id || '.md' AS name FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 100)")
+def manifest_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.missing(*_manifest(spark, sf_dir)).select("pos", "name")
+
+
+# -- what is derived from notes
+
+
+@query(f"""WITH {_NOTES}, m AS (SELECT project, path, '- [' || title || '](' || url || ') (`' || stem || '`)' || CASE WHEN {_DESCRIBED} <> '' THEN ' — ' || {_DESCRIBED} ELSE '' END AS line FROM (SELECT *, {_prose('body')} AS p FROM n WHERE type = 'source')),
+  b AS (SELECT project, string_agg(line, chr(10) ORDER BY path) AS ls, count(*) AS c FROM m GROUP BY project)
+SELECT path, '## ' || title || ' (' || project || ')' AS heading, CAST(coalesce(c, 0) AS INTEGER) AS sources, md5(coalesce(ls, '')) AS lines_md5 FROM n LEFT JOIN b USING (project) WHERE type = 'topic'""")
+def index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.index_entries(notes(spark, sf_dir)).select("path", "heading", F.size("lines").alias("sources"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
+
+
+@query(f"WITH {_NOTES} SELECT count(*) FILTER (WHERE type = 'topic') AS topics, count(*) FILTER (WHERE type = 'source') AS sources FROM n")
+def index_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.header(notes(spark, sf_dir))
+
+
+@query(f"""WITH {_CITED}, own AS (SELECT project, url, {_COLLAPSED.format('arg_max(title, mseq)')} AS title FROM c GROUP BY project, url),
+  ls AS (SELECT c.project, string_agg('- ' || own.title || ' ' || url, chr(10) ORDER BY mseq) AS t, CAST(count(*) AS INTEGER) AS n FROM c JOIN own USING (project, url) GROUP BY c.project)
+SELECT r.project, coalesce(n, 0) AS source_count, md5(coalesce(t, '')) AS links_md5 FROM r LEFT JOIN ls USING (project)""")
+def run_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run's topic note links to: a link for each material, with the title that its URL has at the run's end."""
+    cited, runs = _cited(spark, sf_dir)
+    sources = cited.select(F.col("meta")["url"].alias("url")).distinct().withColumn("stem", F.col("url"))
+    rows = index.links(cited, sources).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("mseq", F.concat(F.lit("- "), "title", F.lit(" "), "stem").alias("l")))).alias("ls"))
+    text = F.array_join(F.transform("ls", lambda x: x["l"]), "\n")
+    return runs.join(rows, "project", "left").select("project", F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).alias("source_count"), F.md5(F.coalesce(text, F.lit(""))).alias("links_md5"))
+
+
+@query(f"WITH {_NOTES} SELECT path, rpad(type, 7, ' ') || ' ' || CASE WHEN length(stem) < 40 THEN rpad(stem, 40, ' ') ELSE stem END || ' ' || substr(title, 1, 60) AS line FROM n")
+def list_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.listing(notes(spark, sf_dir))
+
+
+@query(f"""WITH {_CITED}, k AS (SELECT project, count(*) AS n FROM c GROUP BY project), a AS (SELECT project, count(*) AS n FROM st GROUP BY project)
+SELECT a.project, coalesce(k.n, 0) AS sources, a.n - coalesce(k.n, 0) AS skipped FROM a LEFT JOIN k USING (project)""")
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the journal says of each run."""
+    gated = merge.gate_materials(_staged(spark, sf_dir))
+    return gated.groupBy("project").agg(F.count_if(F.col("reason").isNull()).alias("sources"), F.count_if(F.col("reason").isNotNull()).alias("skipped"))

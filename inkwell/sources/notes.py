@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 
-#: A note's columns wherever notes are stored.  topics and projects are lists; what else the front has is in meta.
+#: A note's columns wherever notes are stored.  topics and projects are lists.
 NOTE_SCHEMA = (
     "path string, stem string, type string, slug string, title string, url string, topics array<string>, projects array<string>, project string, "
     "providers string, description string, corroboration int, source_type string, content_kind string, published string, final_url string, "
@@ -41,7 +41,7 @@ def front_and_body(text: Column) -> tuple[Column, Column]:
         lambda x: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("k"), T.strip(F.substr(x, F.locate(":", x) + 1)).alias("v")),
     )
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["k"] == p["k"]))
-    rest = F.substr(text, end + 4)
+    rest = F.substr(text, end + 5)
     body = F.when(end > 0, F.when(rest.startswith("\n"), F.substr(rest, F.lit(2))).otherwise(rest)).otherwise(text)
     return F.map_from_entries(last), body
 
@@ -99,11 +99,15 @@ def as_notes(texts: DataFrame) -> DataFrame:
     return rows.select(*[made.get(c, get(c)).alias(c) for c in NOTE_COLUMNS])
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], NOTE_SCHEMA)
+
+
 def read_notes(spark: SparkSession, folder: str | Path) -> DataFrame:
     """All notes below a folder; none where it doesn't exist."""
     paths = markdown_files(folder)
     if not paths:
-        return spark.createDataFrame([], NOTE_SCHEMA)
+        return empty(spark)
     return as_notes(read_texts(spark, paths).drop("seq"))
 
 
