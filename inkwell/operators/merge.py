@@ -72,7 +72,7 @@ def with_stems(rows: DataFrame, taken: DataFrame) -> DataFrame:
 
     taken: (url) of notes that exist.  The others are named by the whole digest.
     """
-    digests = rows.select("url", F.lit(0).alias("old"), "seq").unionByName(taken.select("url", F.lit(1).alias("old"), F.lit(None).cast("bigint").alias("seq")))
+    digests = rows.select("url", F.lit(0).alias("old"), "seq").unionByName(taken.select("url", F.lit(1).alias("old"), F.lit(None).alias("seq")))
     place = F.row_number().over(Window.partitionBy(T.digest8(F.col("url"))).orderBy(F.desc("old"), "seq", "url"))
     later = digests.withColumn("r", place).where("r > 1 and old = 0").select(F.col("url").alias("clash"))
     joined = rows.join(later, rows["url"] == F.col("clash"), "left")
