@@ -356,10 +356,9 @@ def fold(node: Any) -> Any:
     """The tree with constant expressions worked out, constant prints made text, and dead branches left out."""
     if isinstance(node, list):
         out: list[Node] = []
-        for x in (fold(x) for x in node):
-            if isinstance(x, tuple) and x[0] == "block":
-                out += x[1]
-            elif isinstance(x, tuple) and x[0] == "text" and out and out[-1][0] == "text":
+        folded = (fold(x) for x in node)
+        for x in (y for x in folded for y in (x[1] if isinstance(x, tuple) and x[0] == "block" else [x])):
+            if isinstance(x, tuple) and x[0] == "text" and out and out[-1][0] == "text":
                 out[-1] = ("text", out[-1][1] + x[1])
             elif x != ("text", ""):
                 out.append(x)
