@@ -4,7 +4,8 @@ Coarse centroids (half the square root of the number of rows, rounded up) are
 found by Lloyd's iterations over all rows, and so is a codebook for each
 subspace of the rows' residuals to their centroids.  Each row is kept in its
 centroid's list with its code and itself.  Every row is also a query: it goes
-to the lists of its `probes` nearest centroids, where a table of the distances between its
+to the lists of its `probes` nearest centroids (of more, where these lists
+hold fewer than k others), where a table of the distances between its
 residual's parts and the codebooks gives the asymmetric distance to each code;
 the `rerank` best of a list are compared exactly, and the best of all lists are
 the query's neighbours.
@@ -161,6 +162,17 @@ def tuned(coded: DataFrame, coarse: np.ndarray, k: int, reach: float, tuned_on:
     return int(places[min(len(places) - 1, math.ceil(reach * len(places)) - 1)]) + 1
 
 
+def lists_of(q: np.ndarray, coarse: np.ndarray, sizes: np.ndarray, n_probes: int, k: int) -> pa.ListArray:
+    """Each row's nearest lists, as many as are probed; more where these don't hold k other rows."""
+    near = nearest(q, coarse, n_probes)
+    rows = list(near)
+    for r in np.flatnonzero(sizes[near].sum(axis=1) <= k):
+        order = nearest(q[r : r + 1], coarse, len(coarse))[0]
+        rows[r] = order[: int(np.searchsorted(np.cumsum(sizes[order]), k, side="right")) + 1]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows or [np.zeros(0, np.int32)]).astype(np.int32)))
+
+
 def search_list(ids: np.ndarray, x: np.ndarray, code: np.ndarray, q_ids: np.ndarray, q: np.ndarray, centroid: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, identifier, squared distance) of each query's best k in a list, by exact distance among its `rerank` best codes."""
     parts, _, width = books.shape
@@ -209,15 +221,16 @@ def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     coded = cut(rows.mapInArrow(encode, "id bigint, v array<float>, code binary, list int"))
     n_probes = tuned(coded, coarse, k, reach, tuned_on, seed) if probes is None else probes
 
+    held_by = dict(coded.groupBy("list").count().collect())  # a row for each list
+    sizes = np.array([held_by.get(j, 0) for j in range(len(coarse))])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = nearest(matrix(b.column(1)), sent.value[0], n_probes)
-            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1], pa.array(near.ravel()))], names=["q_id", "q_v", "lists"])
+            yield pa.record_batch([b.column(0), b.column(1), lists_of(matrix(b.column(1)), sent.value[0], sizes, n_probes, k)], names=["q_id", "q_v", "lists"])
 
     asked = coded.select("id", "v").mapInArrow(ask, "q_id bigint, q_v array<float>, lists array<int>").select("q_id", "q_v", F.explode("lists").alias("list"))
-    # both sides' sizes, a row for each list (the square root of the rows)
-    size = coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("list").agg(F.count(F.lit(1)).alias("q")), "list")
-    size = {r["list"]: (max(1, math.ceil(r["n"] / LIST_ROWS)), max(1, math.ceil(r["q"] / QUERY_ROWS))) for r in size.collect()}
+    asked_of = dict(asked.groupBy("list").count().collect())
+    size = {j: (max(1, math.ceil(held_by[j] / LIST_ROWS)), max(1, math.ceil(n / QUERY_ROWS))) for j, n in asked_of.items() if j in held_by}
     split = spark.createDataFrame([(a, *b) for a, b in size.items()], "list int, segments int, chunks int")
     held = coded.select("id", "v", "code", "list").join(F.broadcast(split), "list")
     held = held.withColumn("segment", F.pmod(F.xxhash64("id"), F.col("segments")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
