@@ -2,9 +2,9 @@
 
 A text's features are its distinct character n-grams of several lengths, in
 lower case, hashed to buckets.  From labelled texts each bucket gets the log
-ratio r of its smoothed shares of the toxic and of the other documents'
-features; a logistic regression is then trained on features worth r instead of
-1.  r is folded into its weights, so scoring a text is one sum over its
+ratio r of the shares of the toxic and of the other documents that have it,
+both smoothed towards its share of all, so that what is rare tells little; a
+logistic regression is then trained on features worth r instead of 1.  r is folded into its weights, so scoring a text is one sum over its
 features.  The labels' own odds are taken off the score: it is the evidence in
 the text, the log of how much likelier it is if toxic than if not.
 
@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import text_slices
 
-LENGTHS = (3, 4, 5)
-BUCKETS = 1 << 18
+LENGTHS = (3, 4, 5, 6, 7)
+BUCKETS = 1 << 20
 MAX_LABELLED = 5_000
 #: A text whose score, the log of a likelihood ratio, is at least this is toxic.
 CUT = 0.0
-ALPHA, L2, STEPS = 1.0, 2.0, 40
+#: Documents that the smoothing counts as.
+ALPHA = 10.0
+L2, STEPS = 20.0, 40
 _LOWER = np.array([ord(chr(c).lower()) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) == 1 else c for c in range(0x10000)], dtype=np.uint32)
 
 
@@ -76,12 +78,13 @@ def fit(y: np.ndarray, bucket: np.ndarray, at: np.ndarray, buckets: int) -> tupl
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), side="right")) - 1)
         blocks.append((lo, hi, bucket[at[lo] : at[hi]], np.diff(at[lo : hi + 1])))
         lo = hi
-    p, q = np.full(buckets, ALPHA), np.full(buckets, ALPHA)
+    share = (y > 0).mean()
+    p, q = np.full(buckets, ALPHA * share), np.full(buckets, ALPHA * (1 - share))
     for lo, hi, f, n in blocks:
         toxic = np.repeat(y[lo:hi] > 0, n)
         p += np.bincount(f[toxic], minlength=buckets)
         q += np.bincount(f[~toxic], minlength=buckets)
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    r = np.log(p / share) - np.log(q / (1 - share))
     sign = np.where(y > 0, 1.0, -1.0)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -96,8 +99,7 @@ def fit(y: np.ndarray, bucket: np.ndarray, at: np.ndarray, buckets: int) -> tupl
         return total, np.append(grad * r + L2 * w[:-1], bias)
 
     w = minimise(loss, np.zeros(buckets + 1), STEPS)
-    odds = (y > 0).mean()
-    return (w[:-1] * r).astype(np.float32), float(w[-1] - np.log(odds / (1 - odds)))
+    return (w[:-1] * r).astype(np.float32), float(w[-1] - np.log(share / (1 - share)))
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -155,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 yield pa.record_batch([b.column(0)[lo:hi], pa.array([raw[i:j].tobytes() for i, j in zip(f_at[:-1], f_at[1:], strict=True)], pa.binary())], names=["y", "f"])
 
     def learn(table: pa.Table) -> pa.Table:
-        ys, raw = table.column("y").to_numpy(), table.column("f").to_pylist()
-        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+        ys, raw = table.column("y").to_numpy(), table.column("f").combine_chunks()
+        at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) // 4
         if len(set(ys.tolist())) < 2:
             return pa.table({"w": pa.array([], pa.binary()), "b": pa.array([], pa.float64())})
-        w, b = fit(ys, np.frombuffer(b"".join(raw), np.uint32), at, buckets)
+        w, b = fit(ys, np.frombuffer(raw.buffers()[2], np.uint32)[at[0] : at[-1]], at - at[0], buckets)
         return pa.table({"w": [w.tobytes()], "b": [b]})
 
     made = rows.mapInArrow(extract, "y int, f binary").groupBy().applyInArrow(learn, "w binary, b double").first()
