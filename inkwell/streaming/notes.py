@@ -1,7 +1,7 @@
 """Notes that keep coming: a folder watched by Structured Streaming, each batch merged into the table of notes.
 
-The reference point is `KnowledgeBase.ingest_notes`; this takes files as they
-arrive instead of a folder at once.
+What `KnowledgeBase.ingest_notes` does with a folder at once, this does with files
+as they arrive.
 """
 
 from __future__ import annotations
