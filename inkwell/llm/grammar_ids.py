@@ -22,7 +22,6 @@ an empty result; other columns aren't looked at.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import text_slices
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's public rule of cutting a text into words.
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,6 +40,8 @@ ROUNDS = 16
 MIN_COUNT = 4
 TABLE_BITS = 20
 CACHED = 500_000
+WORD_BITS = 20
+_encoders: dict[int, Encoder] = {}
 _ARROW = pa.schema([
     ("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("doc_begins", pa.binary()), ("terminals", pa.binary()),
     ("rules", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("sequence", pa.binary()), ("n_tokens", pa.int64()),
@@ -50,86 +53,162 @@ class Encoder:
     """Ids of texts, a word at a time: what the vocabulary makes of a word doesn't depend on the words around it.
 
     A text is cut before each space that follows another character than a
-    space, where the pattern always cuts; the ids of words seen are remembered.
+    space, where the pattern always cuts.  The ids of words of up to LONGEST
+    bytes are remembered in a table that is looked up for all words of some
+    texts at once: a word's bytes and length are its key, compared whole, so
+    nothing is ever mistaken for another word.  A text with
+    a run of spaces, or one at its end, isn't cut.
     """
 
+    LONGEST = 14
+
     def __init__(self, ranks: dict[bytes, int]) -> None:
         import tiktoken
 
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(b) for b in ranks]
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.begins = array("i"), array("q", [0])
-        self.first: dict[str, int] = _Seen(self, "")
-        self.rest: dict[str, int] = _Seen(self, " ")
-
-    def add(self, text: str) -> int:
-        self.ids.extend(self.bpe.encode_ordinary(text))
-        self.begins.append(len(self.ids))
-        return len(self.begins) - 2
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.keys = np.zeros((1 << WORD_BITS, 2), np.uint64)
+        self.piece = np.zeros(1 << WORD_BITS, np.int64)
+        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def together(self, data: np.ndarray, begins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with its space in front, encoded as one text, and how many each has."""
+        ends = np.cumsum(n)
+        raw = data[np.repeat(begins - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = np.array(self.bpe.encode_ordinary(raw.tobytes().decode("utf-8")), np.int32)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1, prepend=0)
+
+    def remember(self, key: np.ndarray, mixed: np.ndarray, piece: np.ndarray) -> None:
+        for shift in (64 - WORD_BITS, 44 - WORD_BITS):
+            slot = (mixed >> np.uint64(shift)).astype(np.int64) & ((1 << WORD_BITS) - 1)
+            free = np.flatnonzero(self.keys[slot, 1] == 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[free]], self.piece[slot[free]] = key[free], piece[free]
+            rest = np.ones(len(slot), bool)
+            rest[free] = False
+            key, mixed, piece = key[rest], mixed[rest], piece[rest]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts, one after another, and the texts' offsets."""
-        if len(self.begins) > CACHED:
+        if len(self.begin) > CACHED:
             self.clear()
-        pieces: list[int] = []
-        at = [0]
-        for t in texts:
-            if t:
-                if "  " in t or t[-1] == " ":
-                    pieces.append(self.add(t))
-                else:
-                    words = t.split(" ")
-                    pieces.append(self.first[words[0]])
-                    pieces += map(self.rest.__getitem__, words[1:])
-            at.append(len(pieces))
-        if not pieces:
-            return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
-        which = np.array(pieces, np.int64)
-        flat, begin = np.array(self.ids, np.int32), np.array(self.begins, np.int64)
-        n = np.diff(begin)[which]
-        done = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(begin[which] - done[:-1], n) + np.arange(done[-1])], done[at]
-
-
-class _Seen(dict):
-    def __init__(self, encoder: Encoder, before: str) -> None:
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, word: str) -> int:
-        k = self[word] = self.encoder.add(self.before + word)
-        return k
+        out, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for _, _, data, at in text_slices(texts, 4 << 20):
+            tokens, n = self._slice(data, at)
+            out.append(tokens)
+            sizes.append(n)
+        return np.concatenate(out), np.cumsum(np.concatenate(sizes))
+
+    def _slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of some texts, and how many each has."""
+        full = np.flatnonzero(at[1:] > at[:-1])
+        if not len(full):
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        mark = data == 32
+        cut = np.flatnonzero(mark)
+        last = mark[at[full + 1] - 1]
+        mark[at[full]] = True
+        whole = np.zeros(len(at) - 1, bool)  # a run of spaces (of one text), or a space at the end
+        whole[np.searchsorted(at, cut[:-1][np.diff(cut) == 1], side="right") - 1] = True
+        whole[full] |= last
+        for r in np.flatnonzero(whole):
+            mark[at[r] + 1 : at[r + 1]] = False
+        begins = np.flatnonzero(mark)
+        ends = np.append(begins[1:], len(data))
+        n = ends - begins
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        windows = np.ndarray(len(data) + 8, dtype=">u8", buffer=padded, strides=(1,))
+        key = np.empty((len(begins), 2), np.uint64)
+        key[:, 0] = windows[begins]
+        key[:, 1] = windows[np.minimum(begins + 8, len(data) + 7)]
+        short = np.minimum(n, 8).astype(np.uint64)
+        key[:, 0] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * short)
+        rest = (np.clip(n, 8, 15) - 8).astype(np.uint64)
+        key[:, 1] = key[:, 1] >> np.uint64(8) & ~(~np.uint64(0) >> (np.uint64(8) * rest + np.uint64(8))) | np.minimum(n, 255).astype(np.uint64) << np.uint64(56)
+        mixed = (key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+        which, left = np.zeros(len(begins), np.int64), np.arange(len(begins))
+        for shift in (64 - WORD_BITS, 44 - WORD_BITS):  # a word is in one of two slots
+            slot = (mixed[left] >> np.uint64(shift)).astype(np.int64) & ((1 << WORD_BITS) - 1)
+            known = (self.keys[slot, 0] == key[left, 0]) & (self.keys[slot, 1] == key[left, 1])
+            which[left[known]] = self.piece[slot[known]]
+            left = left[~known]
+        # of the words that weren't found, short ones are encoded once, the others where they stand
+        lone = (data[begins[left]] != 32) | whole[np.searchsorted(at, begins[left], side="right") - 1]
+        short = left[~lone & (n[left] <= self.LONGEST)]
+        _, one, every = np.unique(mixed[short], return_index=True, return_inverse=True)
+        one = short[one]
+        same = (key[one][every] == key[short]).all(axis=1)
+        long = np.concatenate([left[~lone & (n[left] > self.LONGEST)], short[~same]])
+        known = len(self.begin) - 1
+        ids, m = self.together(data, begins[one], n[one])
+        which[short[same]] = known + every[same]
+        self.remember(key[one], mixed[one], known + np.arange(len(one)))
+        self.flat, self.begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(m)])
+        which[long] = len(self.begin) - 1 + np.arange(len(long))
+        ids, m = self.together(data, begins[long], n[long])
+        lone = left[lone]
+        which[lone] = len(self.begin) - 1 + len(long) + np.arange(len(lone))
+        alone = [self.bpe.encode_ordinary(data[i:j].tobytes().decode("utf-8")) for i, j in zip(begins[lone].tolist(), ends[lone].tolist(), strict=True)]
+        flat = np.concatenate([self.flat, ids, np.array([x for some in alone for x in some], np.int32)])
+        begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate([m, np.array([len(x) for x in alone], np.int64)]))])
+        m = np.diff(begin)[which]
+        done = np.concatenate([[0], np.cumsum(m)])
+        return flat[np.repeat(begin[which] - done[:-1], m) + np.arange(done[-1])], np.diff(done[np.searchsorted(begins, at)])
+
+
+def encoder_of(name: int, ranks: dict[bytes, int]) -> Encoder:
+    """A vocabulary's encoder; a worker keeps it, and what it remembers, for its next task."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(ranks)
+    return _encoders[name]
 
 
 def compress(ids: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, sequence, documents' begins in it): symbols count the terminals first, then the rules."""
-    terminals, dense = np.unique(ids, return_inverse=True)
+    terminals = np.flatnonzero(np.bincount(ids))
+    dense = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
+    dense[terminals] = np.arange(len(terminals), dtype=np.int32)
+    dense = dense[ids]
     n_docs, symbols = len(at) - 1, len(terminals)
     seq = np.full(len(ids) + n_docs, -1, np.int32)  # every document ends with a -1
     seq[np.arange(len(ids)) + np.repeat(np.arange(n_docs), np.diff(at))] = dense
     rules: list[np.ndarray] = []
     table, shift = 1 << TABLE_BITS, np.uint32(32 - TABLE_BITS)
-    held, name = np.zeros(table, np.int64), np.zeros(table, np.int32)
+    number = np.zeros(table + 1, np.int32)
     for k in range(rounds):
-        left, right = seq[:-1], seq[1:]
-        # a slot counts one pair, that of the last place written to it; others get a slot under another round's hash
-        slot = ((left.astype(np.uint32) * np.uint32(0x9E3779B1 + 2 * k) + right.astype(np.uint32)) * np.uint32(0x85EBCA6B + 2 * k)) >> shift
-        places = np.flatnonzero((left >= 0) & (right >= 0))
-        if not len(places):
+        left, right, stops = seq[:-1], seq[1:], np.flatnonzero(seq < 0)
+        slot = (((left.view(np.uint32) * np.uint32(0x9E3779B1 + 2 * k) + right.view(np.uint32)) * np.uint32(0x85EBCA6B + 2 * k)) >> shift).astype(np.int64)
+        slot[stops[:-1]] = table
+        slot[stops[stops > 0] - 1] = table
+        # slots count all their pairs; only the places of those that count enough are looked at
+        upto = np.bincount(slot, minlength=table + 1)
+        upto[table] = 0
+        most = int(upto.max(initial=0))
+        if most < min_count:
             break
-        slot = slot[places]
+        enough = upto >= max(min_count, most >> 2)
+        some = np.flatnonzero(enough)
+        number[some] = np.arange(len(some), dtype=np.int32)
+        places = np.flatnonzero(enough[slot])
+        slot = number[slot[places]]
+        # a slot stands for one pair, that of the last place written to it; others get a slot under another round's hash
+        held = np.zeros(len(some), np.int64)
         held[slot] = places
         rep = held[slot]
         counted = (left[rep] == left[places]) & (right[rep] == right[places])
         places, slot = places[counted], slot[counted]
-        count = np.bincount(slot, minlength=table)
-        most = int(count.max())
+        count = np.bincount(slot, minlength=len(some))
+        most = int(count.max(initial=0))
         if most < min_count:
-            break
+            continue  # it was several pairs' slot
         often = count[slot]
         chosen = often >= max(min_count, most >> 2)
-        places, rank = places[chosen], (often[chosen] << TABLE_BITS) | slot[chosen].astype(np.int64)
+        places, rank = places[chosen], (often[chosen] << TABLE_BITS) | slot[chosen]
         # neighbours overlap; a stretch of one rank is a run of one id, of which every second place is taken
         near = places[1:] == places[:-1] + 1
         begins = np.concatenate([[True], ~(near & (rank[1:] == rank[:-1]))])
@@ -141,18 +220,18 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, min_count: i
         wins[:-1] &= ~touches | (r[:-1] > r[1:])
         take = wins[stretch] & ((np.arange(len(places)) - first[stretch]) & 1 == 0)
         places, slot = places[take], (rank[take] & (table - 1))
-        taken = np.bincount(slot, minlength=table)
-        enough = taken[slot] >= min(min_count, 2)
-        places, slot = places[enough], slot[enough]
+        taken = np.bincount(slot, minlength=len(some))
+        kept = taken[slot] >= min(min_count, 2)
+        places, slot = places[kept], slot[kept]
         if not len(places):
             break
-        used = np.flatnonzero(np.bincount(slot, minlength=table))
+        used = np.flatnonzero(np.bincount(slot, minlength=len(some)))
+        name = np.zeros(len(some), np.int32)
         name[used] = symbols + np.arange(len(used), dtype=np.int32)
         rules.append(np.stack([left[held[used]], right[held[used]]], axis=1))
         symbols += len(used)
         gone = np.ones(len(seq), bool)
         gone[places + 1] = False
-        seq = seq.copy()
         seq[places] = name[slot]
         seq = seq[gone]
     ends = np.flatnonzero(seq < 0)
@@ -221,10 +300,11 @@ def _shard(number: int, ids: list[int | None], tokens: np.ndarray, at: np.ndarra
 
 def grammar_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> DataFrame:
     """A row for each shard of docs, which follow the table's partitions; the vocabulary file is read on the driver alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = read_ranks(vocabulary)
+    sent, name = docs.sparkSession.sparkContext.broadcast(ranks), hash(frozenset(ranks.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = encoder_of(name, sent.value)
         number = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         parts: list[np.ndarray] = []
@@ -233,7 +313,7 @@ def grammar_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 some = b.slice(lo, 256)
-                tokens, at = encoder.encode(some.column(1).to_pylist())
+                tokens, at = encoder.encode(some.column(1))
                 ids += some.column(0).to_pylist()
                 parts.append(tokens)
                 sizes.append(np.diff(at))
