@@ -137,11 +137,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rou
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, in its columns; of rows equal in identifier and text any one."""
-    kept = cut(survivors(docs, text, doc_id).select("ink_digest", "ink_id"))
+    # digest and identifier as one key: the join's and the window's partitioning are the same, so texts are shuffled once
+    key = lambda digest, i: F.concat(digest, F.coalesce(i.cast("string"), F.lit("")).cast("binary"))
+    kept = cut(survivors(docs, text, doc_id).select(key(F.col("ink_digest"), F.col("ink_id")).alias("ink_k")))
     t, i = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
-    rows = docs.where(t.isNotNull()).withColumns({"ink_d": F.unhex(F.sha2(t, 256)), "ink_i": i.cast("bigint")})
-    met = rows.join(kept, F.col("ink_d").eqNullSafe(F.col("ink_digest")) & F.col("ink_i").eqNullSafe(F.col("ink_id")), "left_semi")
-    order = Window.partitionBy("ink_d", "ink_i").orderBy("ink_d")
+    rows = docs.where(t.isNotNull()).withColumn("ink_d", key(F.unhex(F.sha2(t, 256)), i.cast("bigint")))
+    met = rows.join(kept, F.col("ink_d") == F.col("ink_k"), "left_semi")
+    order = Window.partitionBy("ink_d").orderBy("ink_d")
     one = met.withColumn("ink_r", F.row_number().over(order)).where("ink_r = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
     return one.unionByName(docs.where(t.isNull()))
 
