@@ -7,6 +7,11 @@ smallest identifier stays, of each group of near copies too; the mix then
 repeats documents of small sources (it leaves none out: its budget is the
 smallest at which the largest source is taken once), and the last stage lays
 what is left along the curve and packs it.
+
+Cases: nulls, empty and long texts, ties, repeated rows and clashing columns
+fare in a stage as its operator's docstring says; a row without text is no copy
+of another and stays, to be packed with 0 words; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

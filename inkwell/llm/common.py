@@ -144,6 +144,11 @@ def with_all(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def boxed(df: DataFrame) -> Column:
+    """All columns of df in one, ink_row, so that none can clash with an operator's own; select("ink_row.*") gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("ink_row")
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df (already cut), marked for broadcast only if it has no more than so many (narrow) rows; else joined by shuffling."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

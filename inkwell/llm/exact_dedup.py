@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, with_all
+from inkwell.llm.common import boxed, cut, with_all
 
 BITS = 3
 #: Rows that a last run has, about; sets the number of rounds.
@@ -141,10 +141,10 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     key = lambda digest, i: F.concat(digest, F.coalesce(i.cast("string"), F.lit("")).cast("binary"))
     kept = cut(survivors(docs, text, doc_id).select(key(F.col("ink_digest"), F.col("ink_id")).alias("ink_k")))
     t, i = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
-    rows = docs.where(t.isNotNull()).withColumn("ink_d", key(F.unhex(F.sha2(t, 256)), i.cast("bigint")))
+    rows = docs.where(t.isNotNull()).select(boxed(docs), key(F.unhex(F.sha2(t, 256)), i.cast("bigint")).alias("ink_d"))
     met = rows.join(kept, F.col("ink_d") == F.col("ink_k"), "left_semi")
     order = Window.partitionBy("ink_d").orderBy("ink_d")
-    one = met.withColumn("ink_r", F.row_number().over(order)).where("ink_r = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = met.withColumn("ink_r", F.row_number().over(order)).where("ink_r = 1").select("ink_row.*")
     return one.unionByName(docs.where(t.isNull()))
 
 

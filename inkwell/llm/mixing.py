@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, ranked, small
+from inkwell.llm.common import boxed, cut, ranked, small
 
 SEED = 4
 #: Target shares are in proportion to a source's size to this power.
@@ -86,9 +86,10 @@ def sample_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """docs with every row as often as it has copies, in its columns."""
-    out = with_copies(docs, text, doc_id, source, **how)
+    rows = docs.select(boxed(docs), *[F.col(f"`{c}`") for c in dict.fromkeys([doc_id, source, text])])
+    out = with_copies(rows, text, doc_id, source, **how)
     many = out.withColumn("ink_copy", F.explode(F.when(F.col("ink_copies") > 0, F.sequence(F.lit(1), F.col("ink_copies").cast("int")))))
-    return many.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return many.select("ink_row.*")
 
 
 _PARTS = """

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, mix, text_slices, word_hashes
+from inkwell.llm.common import boxed, cut, mix, text_slices, word_hashes
 
 COORDINATES = 64
 THRESHOLD = 42
@@ -173,4 +173,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how: int) -> DataFrame:
     """The rows of docs without those of documents that are connected by matches to one of a smaller identifier."""
     gone = components(near_pairs(docs, text, doc_id, **how), "doc_a", "doc_b").select(F.col("node").alias("ink_node"))
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col("ink_node"), "left_anti")
+    rows = docs.select(boxed(docs), F.col(f"`{doc_id}`").cast("bigint").alias("ink_i"))
+    return rows.join(gone, F.col("ink_i") == F.col("ink_node"), "left_anti").select("ink_row.*")

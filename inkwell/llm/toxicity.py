@@ -12,7 +12,8 @@ Whole texts are scored, wherever in them the n-grams stand.  Training uses at
 most about `max_labelled` labelled rows, chosen by their identifiers' hashes;
 the weights have a fixed size (a number for each bucket).
 
-Cases: an empty or null text has no features and the score of the bias alone;
+Cases: an empty, very short or null text has no features, the score of the bias
+alone, and isn't toxic;
 rows without identifier are scored, with a null one; repeated rows are scored
 each; labels that are null, or whose document is missing, aren't used; several
 labels of a document count each; where there are not both kinds of labels,
@@ -168,26 +169,27 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return (np.zeros(buckets, np.float32), float("-inf")) if made is None else (np.frombuffer(made["w"], np.float32), made["b"])
 
 
-def scores(texts: pa.Array, w: np.ndarray, b: float, lengths: tuple[int, ...], buckets: int) -> np.ndarray:
-    out = np.zeros(len(texts))
+def scores(texts: pa.Array, w: np.ndarray, b: float, lengths: tuple[int, ...], buckets: int, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's score, and whether it is toxic; one without features isn't."""
+    out, toxic = np.zeros(len(texts)), np.zeros(len(texts), bool)
     if b == float("-inf"):
-        return out
+        return out, toxic
     for lo, hi, data, at in text_slices(texts):
         f, f_at = features(data, at, lengths, buckets)
         out[lo:hi] = b + _sums(w[f], f_at)
-    return out
+        toxic[lo:hi] = (out[lo:hi] >= cut) & (np.diff(f_at) > 0)
+    return out, toxic
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", lengths: tuple[int, ...] = LENGTHS, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED, cut: float = CUT) -> DataFrame:
     """(doc_id, score, toxic) of every document."""
     w, b = train(docs, labels, text, doc_id, label, lengths, buckets, max_labelled)
     sent = docs.sparkSession.sparkContext.broadcast(w)
-    dead = b == float("-inf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            s = scores(x.column(1), sent.value, b, lengths, buckets)
-            yield pa.record_batch([x.column(0), pa.array(s), pa.array((s >= cut) & (not dead))], names=["doc_id", "score", "toxic"])
+            s, toxic = scores(x.column(1), sent.value, b, lengths, buckets, cut)
+            yield pa.record_batch([x.column(0), pa.array(s), pa.array(toxic)], names=["doc_id", "score", "toxic"])
 
     return docs.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`")).mapInArrow(run, "doc_id bigint, score double, toxic boolean")
 
@@ -202,6 +204,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield x.filter(pa.array(scores(x.column(where), sent.value, b, lengths, buckets) < cut))
+            yield x.filter(pa.array(~scores(x.column(where), sent.value, b, lengths, buckets, cut)[1]))
 
     return docs.mapInArrow(run, docs.schema)

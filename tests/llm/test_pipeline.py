@@ -92,3 +92,23 @@ def test_every_word_is_packed(stages):
 
 def test_run_is_the_stages(spark):
     assert P.run(spark, SMALL).columns == ["pack_id", "pack_start", "doc_id", "doc_start", "words", "curve_key"]
+
+
+def test_rows_of_every_kind(spark, tmp_path):
+    insult = "you vile hateful slurry filth "
+    rows = [(k, insult * 3 if k % 2 else f"a kind calm river walk number {k} by the {k * k} trees and hills of {k * 7}", "s", "en", 20) for k in range(60)]
+    rows += [(100, None, None, None, None), (101, "", "s", "en", 0), (102, "", "s", "en", 0), (None, "a quiet text of no name", "s", "en", 3), (103, "calm river " * 50_000, None, "en", 9), (104, "calm river " * 50_000, "t", "en", 9), (2, "a kind calm river walk number 2 by the 4 trees and hills of 14", "s", "en", 20)]
+    kind = "doc_id bigint, text string, source string, lang string, n_chars bigint, ink_k string, i bigint, t string, ink_copies int, ink_source string, ink_node int"
+    docs = spark.createDataFrame([(*r, "clash", 0, None, 7, "clash", 1) for r in rows], kind)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter()
+    for r in P.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] += r["words"]
+    assert all((k in got) == (k % 2 == 0) for k in range(60)) and {100, 101, None} <= set(got) and 102 not in got
+    assert 103 in got and 104 not in got
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").collect() == []
