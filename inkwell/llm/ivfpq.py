@@ -11,9 +11,12 @@ the `rerank` best of a list are compared exactly, and the best of all lists are
 the query's neighbours.
 
 How many lists must be probed depends on the data: few where it has clusters,
-many where it has none.  Unless given, the number is the smallest at which the
-true neighbours of `tuned_on` rows, found by comparing these with all rows, are
-in the probed lists to a share of `reach`.
+many where it has none.  How many codes of a list must be reranked depends on
+how well codes tell its rows apart, and grows with the list.  Unless given, both
+are tuned together: the true neighbours of `tuned_on` rows are found by
+comparing these with all rows, and each one's place among its list's codes by
+going through the codes.  Of the numbers at which a share `reach` of them is
+found by the whole search, those of the least work are taken.
 
 Lists and their queries meet in parts of bounded size, however large or sought
 a list is.  Centroids and codebooks, which every executor gets, grow with the
@@ -41,7 +44,6 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import cut
 
 K = 10
-RERANK = 40
 REACH = 0.95
 TUNED_ON = 400
 PARTS = 16
@@ -49,6 +51,8 @@ CODES = 256
 STEPS = 8
 #: Rows of a list, and queries, that meet at once.
 LIST_ROWS, QUERY_ROWS = 32_768, 8_192
+#: Numbers of reranked rows that are held at once.
+EXACT = 1 << 20
 BLOCK = 64
 SEED = 8
 
@@ -136,8 +140,22 @@ def index(rows: DataFrame, parts: int, codes: int, steps: int, seed: int) -> tup
     return coarse, _lloyd(rows, np.ascontiguousarray(first), coarse, steps)
 
 
-def tuned(coded: DataFrame, coarse: np.ndarray, k: int, reach: float, tuned_on: int, seed: int) -> int:
-    """The number of probed lists that hold a share `reach` of the true neighbours of some rows."""
+def code_distances(r: np.ndarray, books: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Squared distances of residuals (rows, parts, dimensions of a part) to codes."""
+    d = np.zeros((len(r), len(code)), np.float32)
+    for p in range(len(books)):
+        tables = ((r[:, p, None, :] - books[p][None]) ** 2).sum(axis=2)
+        d += tables[:, code[:, p]]
+    return d
+
+
+def _codes(column: pa.Array, parts: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, parts)
+
+
+def places(coded: DataFrame, coarse: np.ndarray, books: np.ndarray, k: int, tuned_on: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the true neighbours of some rows: the place of the list among the row's lists, and of the code among those of the list's other rows."""
+    parts, _, width = books.shape
     some = coded.select("id", "v").orderBy(F.xxhash64(F.lit(seed + 2), "id"), "id").limit(tuned_on).toArrow()
     q_ids, q = some.column("id").to_numpy(), np.concatenate([matrix(c) for c in some.column("v").chunks])
 
@@ -151,15 +169,64 @@ def tuned(coded: DataFrame, coarse: np.ndarray, k: int, reach: float, tuned_on:
                 best = np.argpartition(d, min(k, len(ids)) - 1, axis=1)[:, :k]
                 d = np.take_along_axis(d, best, axis=1)
                 row, col = np.nonzero(np.isfinite(d))
-                yield pa.record_batch([row.astype(np.int32), d[row, col], lists[best[row, col]]], names=["q", "d", "list"])
-
-    near = coded.select("id", "v", "list").mapInArrow(compare, "q int, d double, list int")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "list"))).where(F.col("r") <= k).toPandas()
-    if not len(near):
-        return 1
+                at = best[row, col]
+                yield pa.record_batch([row.astype(np.int32), d[row, col], ids[at], lists[at], part.column(3).take(pa.array(at))], names=["q", "d", "id", "list", "code"])
+
+    near = coded.select("id", "v", "list", "code").mapInArrow(compare, "q int, d double, id bigint, list int, code binary")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k)
+    near = near.orderBy("list", "q", "id").toArrow().combine_chunks()
+    if not near.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of, who, held_in = (near.column(c).to_numpy() for c in ("q", "id", "list"))
+    begins = np.append(np.unique(held_in, return_index=True)[1], len(held_in))
+    wanted = {int(held_in[a]): slice(a, b) for a, b in zip(begins, begins[1:], strict=False)}
+    own_code, own = _codes(near.column("code"), parts), np.empty(len(of), np.float32)
+    for j, at in wanted.items():
+        askers, row = np.unique(of[at], return_inverse=True)
+        own[at] = code_distances((q[askers] - coarse[j]).reshape(-1, parts, width), books, own_code[at])[row, np.arange(len(row))]
+    sent = coded.sparkSession.sparkContext.broadcast((coarse, books, q_ids, q))
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many rows of a list come before a neighbour: of every task, to be added up."""
+        c, book, asker_ids, asker = sent.value
+        n = np.zeros(len(of), np.int64)
+        for b in batches:
+            ids, lists, code = b.column(0).to_numpy(), b.column(1).to_numpy(), _codes(b.column(2), parts)
+            order = np.argsort(lists, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(lists[order])) + 1):
+                if not len(rows) or (at := wanted.get(int(lists[rows[0]]))) is None:
+                    continue
+                askers, row = np.unique(of[at], return_inverse=True)
+                for lo in range(0, len(rows), 1024):
+                    some = rows[lo : lo + 1024]
+                    d = code_distances((asker[askers] - c[lists[rows[0]]]).reshape(-1, parts, width), book, code[some])
+                    d[asker_ids[askers][:, None] == ids[some]] = np.inf
+                    d = d[row]
+                    n[at] += ((d < own[at, None]) | ((d == own[at, None]) & (ids[some] < who[at, None]))).sum(axis=1)
+        yield pa.record_batch([pa.array(np.arange(len(n))), pa.array(n)], names=["at", "n"])
+
+    ranks = np.zeros(len(of), np.int64)
+    for r in coded.select("id", "list", "code").mapInArrow(ahead, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        ranks[r["at"]] = r["n"]
     order = np.argsort(nearest(q, coarse, len(coarse)), axis=1)  # each list's place among a row's lists
-    places = np.sort(order[near["q"].to_numpy(), near["list"].to_numpy()])
-    return int(places[min(len(places) - 1, math.ceil(reach * len(places)) - 1)]) + 1
+    return order[of, held_in].astype(np.int64), ranks
+
+
+def tuned(place: np.ndarray, rank: np.ndarray, rows: float, dims: int, parts: int, k: int, reach: float, probes: int | None, rerank: int | None) -> tuple[int, int]:
+    """(lists probed, codes reranked), as given or of the least work for lists of so many rows, by which a share `reach` of the neighbours is found.
+
+    At least k of a list are reranked, so that there are k neighbours.  Where what
+    is given doesn't let so many be found, all that it lets be found are wanted."""
+    best = (math.inf, 1, k)
+    needed = math.ceil(reach * len(place))
+    may = (place < (probes or math.inf)) & (rank < (rerank or math.inf))
+    needed = min(needed, int(may.sum()))
+    for p in [probes] if probes else range(1, int(place.max(initial=0)) + 2):
+        at = np.sort(rank[may & (place < p)])
+        if len(at) >= needed:
+            r = rerank or max(k, int(at[needed - 1]) + 1 if needed else k)
+            best = min(best, (p * (rows * parts + 2 * (r + k) * dims), p, r))
+    return best[1:]
 
 
 def lists_of(q: np.ndarray, coarse: np.ndarray, sizes: np.ndarray, n_probes: int, k: int) -> pa.ListArray:
@@ -178,17 +245,14 @@ def search_list(ids: np.ndarray, x: np.ndarray, code: np.ndarray, q_ids: np.ndar
     parts, _, width = books.shape
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     take = min(rerank + 1, len(ids))
-    for lo in range(0, len(q), 256):
-        some = q[lo : lo + 256]
-        r = (some - centroid).reshape(len(some), parts, width)
-        d = np.zeros((len(some), len(ids)), np.float32)
-        for p in range(parts):
-            tables = ((r[:, p, None, :] - books[p][None]) ** 2).sum(axis=2)
-            d += tables[:, code[:, p]]
+    step = max(1, min(256, EXACT // (take * q.shape[1])))
+    for lo in range(0, len(q), step):
+        some = q[lo : lo + step]
+        d = code_distances((some - centroid).reshape(len(some), parts, width), books, code)
         best = np.argpartition(d, take - 1, axis=1)[:, :take]
         exact = ((x[best].astype(np.float64) - some[:, None, :].astype(np.float64)) ** 2).sum(axis=2)
         who = ids[best]
-        exact[who == q_ids[lo : lo + 256, None]] = np.inf
+        exact[who == q_ids[lo : lo + step, None]] = np.inf
         order = np.lexsort((who, exact), axis=1)[:, :k]
         exact, who = np.take_along_axis(exact, order, axis=1), np.take_along_axis(who, order, axis=1)
         row, col = np.nonzero(np.isfinite(exact))
@@ -196,7 +260,7 @@ def search_list(ids: np.ndarray, x: np.ndarray, code: np.ndarray, q_ids: np.ndar
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, probes: int | None = None, rerank: int = RERANK, reach: float = REACH, tuned_on: int = TUNED_ON, parts: int = PARTS, codes: int = CODES, steps: int = STEPS, seed: int = SEED) -> DataFrame:
+def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, probes: int | None = None, rerank: int | None = None, reach: float = REACH, tuned_on: int = TUNED_ON, parts: int = PARTS, codes: int = CODES, steps: int = STEPS, seed: int = SEED) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest rows of every row, by Euclidean distance."""
     rows = usable(table, vec_id, embedding)
     spark = table.sparkSession
@@ -219,9 +283,12 @@ def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
             yield pa.record_batch([b.column(0), b.column(1), pa.array([row.tobytes() for row in code], pa.binary()), pa.array(near)], names=["id", "v", "code", "list"])
 
     coded = cut(rows.mapInArrow(encode, "id bigint, v array<float>, code binary, list int"))
-    n_probes = tuned(coded, coarse, k, reach, tuned_on, seed) if probes is None else probes
-
     held_by = dict(coded.groupBy("list").count().collect())  # a row for each list
+    n_probes, n_rerank = probes, rerank
+    if probes is None or rerank is None:
+        place, rank = places(coded, coarse, books, k, tuned_on, seed)
+        n_probes, n_rerank = tuned(place, rank, sum(held_by.values()) / len(held_by), coarse.shape[1], parts, k, reach, probes, rerank)
+
     sizes = np.array([held_by.get(j, 0) for j in range(len(coarse))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +309,10 @@ def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
         if not left.num_rows or not right.num_rows:
             return pa.table(none)
         c, book = sent.value
-        code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(-1, parts)
+        code = _codes(left.column("code"), parts)
         x, q = (matrix(c.combine_chunks()) for c in (left.column("v"), right.column("q_v")))
         q_ids = right.column("q_id").to_numpy()
-        row, who, d = search_list(left.column("id").to_numpy(), x, code, q_ids, q, c[key[0].as_py()], book, k, rerank)
+        row, who, d = search_list(left.column("id").to_numpy(), x, code, q_ids, q, c[key[0].as_py()], book, k, n_rerank)
         used, begin = np.unique(row, return_index=True)
         found = pa.ListArray.from_arrays(np.append(begin, len(row)).astype(np.int32), pa.StructArray.from_arrays([pa.array(d), pa.array(who)], names=["d", "i"]))
         return pa.table({"q": q_ids[used], "found": found})

@@ -65,3 +65,26 @@ def test_lists_cut_into_parts(spark, monkeypatch):
     x, ids = rng.normal(size=(200, 8)).astype(np.float32), np.arange(200)
     got, (want, _) = found(I.neighbours(table(spark, zip(ids.tolist(), x, strict=True)), probes=8, rerank=200)), truth(ids, x, 10)
     assert all([r["neighbour_id"] for r in got[i]] == want[i] for i in want)
+
+
+def test_recall_in_clusters_with_thousands_of_rows_a_list(spark, monkeypatch):
+    real = I._chosen
+    monkeypatch.setattr(I, "_chosen", lambda rows, n, seed: real(rows, 4 if seed == I.SEED else n, seed))  # 4 lists
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(4, 64))[rng.integers(0, 4, 12_000)] * 6 + rng.normal(size=(12_000, 64))).astype(np.float32)
+    got = found(I.neighbours(table(spark, enumerate(x.tolist()))))
+    hits = 0
+    for i in range(0, 12_000, 30):
+        d = ((x.astype(np.float64) - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len({r["neighbour_id"] for r in got[i]} & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 12_000 and all(len(rows) == 10 for rows in got.values())
+    assert hits >= 0.93 * 10 * 400
+
+
+def test_probes_and_rerank_are_tuned_on_what_the_whole_search_finds():
+    place, rank = np.array([0] * 90 + [1] * 10), np.array([5] * 50 + [300] * 50)
+    how = {"rows": 3000, "dims": 64, "parts": 16, "k": 10, "reach": 0.95}
+    assert I.tuned(place, rank, probes=None, rerank=None, **how) == (2, 301)
+    assert I.tuned(place, rank, probes=1, rerank=None, **how) == (1, 301) and I.tuned(place, rank, probes=None, rerank=40, **how) == (1, 40)
+    assert I.tuned(place[:0], rank[:0], probes=None, rerank=None, **how) == (1, 10)
