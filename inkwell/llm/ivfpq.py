@@ -7,7 +7,8 @@ centroid's list with its code and itself.  Every row is also a query: it goes
 to the lists of its `probes` nearest centroids (of more, where these lists
 hold fewer than k others), where a table of the distances between its
 residual's parts and the codebooks gives the asymmetric distance to each code;
-the `rerank` best of a list are compared exactly, and the best of all lists are
+the `rerank` best of a list, of equally good ones those of the smallest
+identifiers, are compared exactly, and the best of all lists are
 the query's neighbours.
 
 How many lists must be probed depends on the data: few where it has clusters,
@@ -163,10 +164,11 @@ def places(coded: DataFrame, coarse: np.ndarray, books: np.ndarray, k: int, tune
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
+                part = part.take(pa.array(np.argsort(part.column(0).to_numpy())))
                 ids, x, lists = part.column(0).to_numpy(), matrix(part.column(1)), part.column(2).to_numpy()
                 d = (q.astype(np.float64) ** 2).sum(axis=1)[:, None] + (x.astype(np.float64) ** 2).sum(axis=1) - 2 * q.astype(np.float64) @ x.T.astype(np.float64)
                 d[q_ids[:, None] == ids] = np.inf
-                best = np.argpartition(d, min(k, len(ids)) - 1, axis=1)[:, :k]
+                best = smallest(d, min(k, len(ids)))
                 d = np.take_along_axis(d, best, axis=1)
                 row, col = np.nonzero(np.isfinite(d))
                 at = best[row, col]
@@ -240,16 +242,27 @@ def lists_of(q: np.ndarray, coarse: np.ndarray, sizes: np.ndarray, n_probes: int
     return pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows or [np.zeros(0, np.int32)]).astype(np.int32)))
 
 
+def smallest(d: np.ndarray, take: int) -> np.ndarray:
+    """The places of each row's `take` smallest; of equal ones the first."""
+    best = np.argpartition(d, take - 1, axis=1)[:, :take]
+    last = np.take_along_axis(d, best, axis=1).max(axis=1, keepdims=True)
+    more = np.flatnonzero((d <= last).sum(axis=1) > take)
+    best[more] = np.argsort(d[more], axis=1, kind="stable")[:, :take]
+    return best
+
+
 def search_list(ids: np.ndarray, x: np.ndarray, code: np.ndarray, q_ids: np.ndarray, q: np.ndarray, centroid: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, identifier, squared distance) of each query's best k in a list, by exact distance among its `rerank` best codes."""
     parts, _, width = books.shape
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    by_id = np.argsort(ids)
+    ids, x, code = ids[by_id], x[by_id], code[by_id]
     take = min(rerank + 1, len(ids))
     step = max(1, min(256, EXACT // (take * q.shape[1])))
     for lo in range(0, len(q), step):
         some = q[lo : lo + step]
         d = code_distances((some - centroid).reshape(len(some), parts, width), books, code)
-        best = np.argpartition(d, take - 1, axis=1)[:, :take]
+        best = smallest(d, take)
         exact = ((x[best].astype(np.float64) - some[:, None, :].astype(np.float64)) ** 2).sum(axis=2)
         who = ids[best]
         exact[who == q_ids[lo : lo + step, None]] = np.inf

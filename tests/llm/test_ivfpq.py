@@ -88,3 +88,11 @@ def test_probes_and_rerank_are_tuned_on_what_the_whole_search_finds():
     assert I.tuned(place, rank, probes=None, rerank=None, **how) == (2, 301)
     assert I.tuned(place, rank, probes=1, rerank=None, **how) == (1, 301) and I.tuned(place, rank, probes=None, rerank=40, **how) == (1, 40)
     assert I.tuned(place[:0], rank[:0], probes=None, rerank=None, **how) == (1, 10)
+
+
+def test_hundreds_of_equal_vectors_are_ordered_by_identifier(spark):
+    rows = [(k * 7919 % 1009, [1, 1, 1, 1]) for k in range(200)]
+    want = sorted(i for i, _ in rows)
+    for n in (3, 7):
+        same = found(I.neighbours(table(spark, rows).repartition(n), k=3, probes=1, rerank=3))
+        assert {i: [r["neighbour_id"] for r in rs] for i, rs in same.items()} == {i: [j for j in want[:4] if j != i][:3] for i in want}
