@@ -105,3 +105,23 @@ def test_one_identifier_on_several_rows_and_empty_tables(spark):
     assert got == {(1, 2), (2, 3)}
     assert {r["doc_id"] for r in N.near_dedup(table(spark, rows)).collect()} == {1}
     assert N.near_pairs(table(spark, [])).collect() == [] and N.near_dedup(table(spark, [])).collect() == []
+
+
+def test_pairs_of_middling_similarity_against_exact_jaccard(spark):
+    rng = random.Random(11)
+    rows, near, far = [], set(), set()
+    for k in range(300):
+        words = [f"u{rng.randrange(50_000)}" for _ in range(rng.randint(300, 600))]
+        copy = list(words)
+        for j in rng.sample(range(len(words)), int(len(words) * rng.uniform(0.06, 0.26))):
+            copy[j] = f"u{rng.randrange(50_000)}"
+        a, b = ({*itertools.pairwise(w)} for w in (words, copy))
+        jaccard = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        if 0.65 <= jaccard:
+            near.add((2 * k, 2 * k + 1))
+        elif jaccard < 0.45:
+            far.add((2 * k, 2 * k + 1))
+    got = {(r["doc_a"], r["doc_b"]) for r in N.near_pairs(table(spark, rows)).collect()}
+    assert len(near) > 60 and len(far) > 60
+    assert len(near & got) >= 0.97 * len(near) and len(far & got) <= 0.03 * len(far)
