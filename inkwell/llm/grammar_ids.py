@@ -5,7 +5,8 @@ documents at a time.  In each round the pairs of neighbouring ids of a shard
 are counted, and every one that is at least a quarter as frequent as the most
 frequent is replaced by a nonterminal of its own; where two of them overlap the
 more frequent one wins.  Pairs never reach over a document's end.  Rounds go on
-until no pair is frequent enough (or for `rounds`).
+until no pair is frequent enough (or for `rounds`, if given); where hashed counts
+find few, pairs are counted exactly.
 
 A shard is one row: its alphabet (the terminals that occur, then a rule for
 each nonterminal), every symbol's expansion length, the sequence in 2 or 4
@@ -22,6 +23,7 @@ an empty result; other columns aren't looked at.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's public rule of cutting a text into words.
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_TOKENS = 1 << 20
-ROUNDS = 16
 MIN_COUNT = 4
 TABLE_BITS = 20
 CACHED = 500_000
@@ -168,7 +169,7 @@ def encoder_of(name: int, ranks: dict[bytes, int]) -> Encoder:
     return _encoders[name]
 
 
-def compress(ids: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, sequence, documents' begins in it): symbols count the terminals first, then the rules."""
     terminals = np.flatnonzero(np.bincount(ids))
     dense = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
@@ -180,7 +181,9 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, min_count: i
     rules: list[np.ndarray] = []
     table, shift = 1 << TABLE_BITS, np.uint32(32 - TABLE_BITS)
     number = np.zeros(table + 1, np.int32)
-    for k in range(rounds):
+    exact = False
+    for k in itertools.count() if rounds is None else range(rounds):
+        k %= 1 << 16
         left, right, stops = seq[:-1], seq[1:], np.flatnonzero(seq < 0)
         slot = (((left.view(np.uint32) * np.uint32(0x9E3779B1 + 2 * k) + right.view(np.uint32)) * np.uint32(0x85EBCA6B + 2 * k)) >> shift).astype(np.int64)
         slot[stops[:-1]] = table
@@ -191,24 +194,31 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, min_count: i
         most = int(upto.max(initial=0))
         if most < min_count:
             break
-        enough = upto >= max(min_count, most >> 2)
+        enough = upto >= (min_count if exact else max(min_count, most >> 2))
         some = np.flatnonzero(enough)
         number[some] = np.arange(len(some), dtype=np.int32)
         places = np.flatnonzero(enough[slot])
-        slot = number[slot[places]]
-        # a slot stands for one pair, that of the last place written to it; others get a slot under another round's hash
-        held = np.zeros(len(some), np.int64)
-        held[slot] = places
-        rep = held[slot]
-        counted = (left[rep] == left[places]) & (right[rep] == right[places])
-        places, slot = places[counted], slot[counted]
+        if exact:  # every pair of its own
+            some, first, slot = np.unique(left[places].astype(np.int64) << 32 | right[places], return_index=True, return_inverse=True)
+            held = places[first]
+        else:
+            slot = number[slot[places]]
+            # a slot stands for one pair, that of the last place written to it; others get a slot under another round's hash
+            held = np.zeros(len(some), np.int64)
+            held[slot] = places
+            rep = held[slot]
+            counted = (left[rep] == left[places]) & (right[rep] == right[places])
+            places, slot = places[counted], slot[counted]
         count = np.bincount(slot, minlength=len(some))
         most = int(count.max(initial=0))
-        if most < min_count:
-            continue  # it was several pairs' slot
+        if exact and most < min_count:
+            break
+        if not exact and most < 2 * min_count:  # others may hide in slots of several pairs
+            exact = True
+            continue
         often = count[slot]
         chosen = often >= max(min_count, most >> 2)
-        places, rank = places[chosen], (often[chosen] << TABLE_BITS) | slot[chosen]
+        places, rank = places[chosen], (often[chosen] << 32) | slot[chosen]
         # neighbours overlap; a stretch of one rank is a run of one id, of which every second place is taken
         near = places[1:] == places[:-1] + 1
         begins = np.concatenate([[True], ~(near & (rank[1:] == rank[:-1]))])
@@ -219,12 +229,13 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, min_count: i
         wins[1:] &= ~touches | (r[1:] > r[:-1])
         wins[:-1] &= ~touches | (r[:-1] > r[1:])
         take = wins[stretch] & ((np.arange(len(places)) - first[stretch]) & 1 == 0)
-        places, slot = places[take], (rank[take] & (table - 1))
+        places, slot = places[take], (rank[take] & 0xFFFFFFFF)
         taken = np.bincount(slot, minlength=len(some))
         kept = taken[slot] >= min(min_count, 2)
         places, slot = places[kept], slot[kept]
         if not len(places):
-            break
+            exact = True
+            continue
         used = np.flatnonzero(np.bincount(slot, minlength=len(some)))
         name = np.zeros(len(some), np.int32)
         name[used] = symbols + np.arange(len(used), dtype=np.int32)
@@ -288,7 +299,7 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _shard(number: int, ids: list[int | None], tokens: np.ndarray, at: np.ndarray, rounds: int, min_count: int) -> pa.RecordBatch:
+def _shard(number: int, ids: list[int | None], tokens: np.ndarray, at: np.ndarray, rounds: int | None, min_count: int) -> pa.RecordBatch:
     terminals, rules, seq, begins = compress(tokens, at, rounds, min_count)
     width = 2 if len(terminals) + len(rules) <= 1 << 16 else 4
     row = {
@@ -298,7 +309,7 @@ def _shard(number: int, ids: list[int | None], tokens: np.ndarray, at: np.ndarra
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
-def grammar_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> DataFrame:
+def grammar_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, rounds: int | None = None, min_count: int = MIN_COUNT) -> DataFrame:
     """A row for each shard of docs, which follow the table's partitions; the vocabulary file is read on the driver alone."""
     ranks = read_ranks(vocabulary)
     sent, name = docs.sparkSession.sparkContext.broadcast(ranks), hash(frozenset(ranks.items()))

@@ -53,3 +53,16 @@ def test_grammars_are_grammars():
 
 def test_an_empty_table(spark):
     assert G.grammar_shards(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_rounds_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(7)
+    words = [rng.integers(0, 3000, rng.integers(2, 40)) for _ in range(4000)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.3, 12_000) % 4000]).astype(np.int32)
+    at = np.concatenate([np.arange(0, len(ids), 1000), [len(ids)]])
+    terminals, rules, seq, begins = G.compress(ids, at)
+    assert (G.expand(seq.astype(np.int32), terminals, rules) == ids).all()
+    inside = np.ones(len(seq), bool)
+    inside[begins[1:] - 1] = False
+    pairs = (seq[:-1].astype(np.int64) << 32 | seq[1:])[inside[:-1]]
+    assert np.unique(pairs, return_counts=True)[1].max() < G.MIN_COUNT
