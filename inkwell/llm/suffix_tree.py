@@ -197,7 +197,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: in
     rows = _texts(docs, text, doc_id)
     if states.count() <= broadcast_rows:
         table = states.toArrow()
-        parts = (table.column("k").to_numpy().astype(np.int8), table.column("g").to_numpy().view(np.uint64), table.column("logp").to_numpy().astype(np.float32))
+        parts = (table.column("k").to_numpy().astype(np.int8), table.column("g").to_numpy().view(np.uint64), table.column("logp").to_numpy())
         sent = spark.sparkContext.broadcast(parts)
         del table
 

@@ -81,3 +81,9 @@ def test_what_is_like_the_corpus_scores_better(spark):
     odd = [(1000, "qx zvj wkq pfgh xxz jqv bzzt kwx vv qpw mnbv lkj zx qwp")]
     got = {r["doc_id"]: r["bits_per_symbol"] for r in S.score(spark.createDataFrame(plain + odd, "doc_id bigint, text string")).collect()}
     assert max(got[k] for k, _ in plain) < 1 < got[1000]
+
+
+def test_the_switch_by_size_changes_no_score(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    a, b = ({r["doc_id"]: r["log_prob"] for r in S.score(df, min_count=3, divergence=2.0, broadcast_rows=n).collect()} for n in (10**6, 0))
+    assert a.keys() == b.keys() and all(a[k] == (None if b[k] is None else pytest.approx(b[k], rel=1e-12)) for k in a)
