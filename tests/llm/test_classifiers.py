@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from inkwell.llm import cotraining as Q
+from inkwell.llm import linear
 from inkwell.llm import toxicity as X
 
 DIR = "/root/testdata/sf0.1"
@@ -90,10 +91,56 @@ def test_features_are_those_of_a_loop():
 
 def test_minimise():
     a = np.diag([1.0, 10.0, 100.0])
-    w = X.minimise(lambda w: (0.5 * (w - 1) @ a @ (w - 1), a @ (w - 1)), np.zeros(3), 200)
+    w = linear.minimise(lambda w: (0.5 * (w - 1) @ a @ (w - 1), a @ (w - 1)), np.zeros(3), 200)
     assert np.abs(w - 1).max() < 0.05
 
 
+def test_toxicity_is_that_of_plain_numpy(spark):
+    """Features by Python's sets, ratios, weights and scores by dense matrices and gradient steps."""
+    import pyarrow as pa
+
+    from inkwell.llm.common import text_slices
+
+    rng = np.random.default_rng(3)
+    words = [["vile", "filth", "calm", "river", "hateful", "kind", "tree", "hill", "slurry", "walk"][k] for k in rng.integers(0, 10, 900)]
+    texts = [" ".join(words[k : k + 9]) for k in range(0, 900, 9)] + ["", "ab"]
+    y = np.array([float(sum(t.count(x) for x in ("vile", "filth", "hateful", "slurry")) > 3) for t in texts])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in X.score(d, spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id bigint, toxic int")).collect()}
+    grams = [{t[i : i + k] for k in X.LENGTHS for i in range(len(t) - k + 1)} for t in texts]
+    known = {}
+
+    def bucket(g):
+        if g not in known:
+            (_, _, data, at), = text_slices(pa.array([g]))
+            known[g] = int(X.features(data, at, (len(g),), X.BUCKETS)[0][0])
+        return known[g]
+
+    x = np.zeros((len(texts), len({b for g in grams for b in map(bucket, g)})))
+    place = {}
+    for row, g in enumerate(grams):
+        for b in {bucket(v) for v in g}:
+            x[row, place.setdefault(b, len(place))] = 1
+    share = y.mean()
+    p, q = (y @ x + X.ALPHA * share) / share, ((1 - y) @ x + X.ALPHA * (1 - share)) / (1 - share)
+    x = x * (np.log(p) - np.log(q))
+    w, bias, sign = np.zeros(x.shape[1]), 0.0, 2 * y - 1
+    step = 1 / (X.L2 + 0.25 * np.linalg.norm(x, 2) ** 2)
+    for _ in range(20_000):
+        g = -sign / (1 + np.exp(sign * (x @ w + bias)))
+        w, bias = w - step * (x.T @ g + X.L2 * w), bias - 0.02 * g.sum()
+    want = x @ w + bias - np.log(share / (1 - share))
+    assert np.abs(np.array([got[k] for k in range(len(texts))]) - want).max() < 0.05
+
+
+def test_long_texts_make_several_stretches(spark, monkeypatch):
+    d, y = docs(spark), labels(spark)
+    whole = {(r["doc_id"], r["score"]) for r in X.score(d, y).collect() if r["doc_id"] != 3}
+    monkeypatch.setattr(X, "STRETCH", 4)
+    parts = {r["doc_id"]: r["score"] for r in X.score(d, y).collect() if r["doc_id"] is not None}
+    assert all(parts[i] == pytest.approx(s, abs=1e-4) for i, s in whole if i is not None)
+
+
 def test_quality_of_every_kind_of_row(spark):
     d = docs(spark)
     got = Q.score(d, labels(spark)).collect()
