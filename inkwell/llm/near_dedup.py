@@ -3,25 +3,34 @@
 A document's signature has `coordinates` minima of its word shingles under as
 many random functions.  Each coordinate-value pair is a posting list of the
 documents that have it.  Two documents match if at least `threshold` of their
-coordinates collide, and all such pairs are found:
+coordinates collide, and every match is found:
 
-- documents with the same signature are one class, posted once; its members
-  are paired with the class's smallest identifier (any two of them match at
-  every coordinate, and match other documents as that one does);
+- documents with the same signature are posted once, by the smallest of their
+  identifiers (any two of them match at every coordinate, and match other
+  documents as that one does);
 - prefix merging: coordinates are ordered by the length of their posting list,
   rarest first, and a document is posted only under the first
   coordinates - threshold + 1.  A pair that shares none of these can't reach
   the threshold.  Coordinates that nobody shares come first and cost nothing,
   so documents that have only a passage in common are mostly not posted;
 - skip merging: the pairs that met are counted block by block of coordinates,
-  and a pair is skipped as soon as what is left can't take it to the threshold.
+  and a pair is skipped as soon as what is left can't take it to the threshold;
+- pairs are only made of lists of at most LIST documents.  The documents of a
+  longer list are cut into blocks by their identifiers' hashes, and blocks are
+  compared with one another, two at a time, without writing down their pairs:
+  a cell gives each document's number of matches and a root for each of its
+  groups.  A pair that meets in several lists is counted in one.
 
-No list is cut short and no number of partners is capped.
+No list is cut short and no number of partners is capped.  The result has a row
+for each document: its class (all that are connected by matches, named by the
+smallest identifier) and how many others it matches.
 
-Cases: a text of fewer words than a shingle is one shingle; a text without any
-word, empty or null, is in no pair, nor is a row without identifier; rows of
-one identifier are one document: they make no pair with each other, and stay
-or go together; an empty table gives no pairs; other columns aren't looked at.
+Cases: a text of fewer words than a shingle is one shingle; a very long text is
+signed whole, in memory that grows with that one text; a text without any word,
+empty or null, matches nothing; a row without identifier is in no class and
+stays; rows of one identifier are one document: they don't match each other,
+join the classes of all their texts, have all these texts' matches, and stay or
+go together; an empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -30,10 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import boxed, cut, mix, text_slices, word_hashes
+from inkwell.llm.common import boxed, cut, mix, small, text_slices, word_hashes
 
 #: Near copies have a Jaccard similarity from about 0.58 on, texts with a passage in common up to 0.55: the cut is between
 #: them, and so many coordinates that few pairs of either kind are estimated beyond it.
@@ -41,6 +51,10 @@ COORDINATES = 128
 THRESHOLD = 74
 SHINGLE = 2
 SEED = 20
+#: Documents of a posting list that is joined with itself, and of a block of a longer one.
+LIST, BLOCK = 64, 1024
+#: Pairs of a cell that are compared at once.
+CELLS = 1 << 19
 
 
 def functions_of(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +109,8 @@ def _signed(rows: pa.Array, coordinates: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows.to_pylist()), np.uint32).reshape(-1, coordinates)
 
 
-def near_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", coordinates: int = COORDINATES, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b; those of one class are given with its smallest identifier."""
+def classes_of(docs: DataFrame, text: str, doc_id: str, coordinates: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(i, p): documents and the numbers of their signatures; (p, sig, rep, members): signatures, each one's smallest identifier and number of these."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,36 +118,39 @@ def near_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", coor
             sig, has = signatures(b.column(1), coordinates, shingle, seed)
             yield pa.record_batch([b.column(0).filter(pa.array(has)), _binary(sig[has])], names=["i", "sig"])
 
-    of_class = Window.partitionBy("sig").orderBy("i")
-    signed = rows.mapInArrow(sign, "i bigint, sig binary").withColumns({"rep": F.first("i").over(of_class), "r": F.row_number().over(of_class)})
-    signed = cut(signed)
-    reps = signed.where("r = 1").select("i", "sig")
+    signed = cut(rows.mapInArrow(sign, "i bigint, sig binary").withColumn("h", F.unhex(F.md5("sig"))))
+    # one signature may be that of a third of all rows: partial sums, and no list of its documents
+    slim = signed.select("i", "h").distinct()
+    first = slim.groupBy("h").agg(F.min("i").alias("rep"), F.count(F.lit(1)).alias("members"))
+    all_of = cut(signed.groupBy("h").agg(F.first("sig").alias("sig")).join(first, "h").withColumn("p", F.monotonically_increasing_id()))
+    return slim.join(all_of.select("h", "p"), "h").select("i", "p"), all_of.select("p", "sig", "rep", "members")
+
+
+def posted(signed: DataFrame, coordinates: int, threshold: int) -> DataFrame:
+    """(p, k, key, n): the coordinates under which signatures are posted, and how many have that value there."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.arange(coordinates, dtype=np.int64) << 32
         for b in batches:
             sig = _signed(b.column(1), coordinates)
-            yield pa.record_batch([np.repeat(b.column(0).to_numpy(), coordinates), (sig.astype(np.int64) | order).ravel()], names=["i", "key"])
+            yield pa.record_batch([np.repeat(b.column(0).to_numpy(), coordinates), (sig.astype(np.int64) | order).ravel()], names=["p", "key"])
 
-    shared = (
-        reps.mapInArrow(post, "i bigint, key bigint")
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-        .where("n > 1")
-    )
-    mine = Window.partitionBy("i")
-    # an identifier with several texts has several signatures: its lists hold it at most that often
-    prefix = (
-        shared.groupBy("i", "key").agg(F.max("n").alias("n"))
-        .withColumns({"r": F.row_number().over(mine.orderBy("n", "key")), "all": F.count(F.lit(1)).over(mine)})
+    each = signed.select("p", "sig").mapInArrow(post, "p bigint, key bigint")
+    lists = each.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(lists, F.col("key") == F.col("of")).drop("of")
+    mine = Window.partitionBy("p")  # of at most so many rows as there are coordinates
+    return (
+        shared.withColumns({"r": F.row_number().over(mine.orderBy("n", "key")), "all": F.count(F.lit(1)).over(mine)})
         .where(F.col("r") <= F.col("all") - (threshold - 1))
-        .select("i", "key")
-    )
-    prefix = cut(prefix)
-    met = (
-        prefix.select("key", F.col("i").alias("a")).join(prefix.select("key", F.col("i").alias("b")), "key")
-        .where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).drop("c")
+        .select("p", F.shiftright("key", 32).cast("int").alias("k"), "key", "n")
     )
 
+
+def _short(lists: DataFrame, signed: DataFrame, coordinates: int, threshold: int) -> DataFrame:
+    """(a, b): the matches among pairs that meet in a list of at most LIST, once each."""
+    some = lists.where(F.col("n") <= LIST)
+    met = some.select("key", F.col("p").alias("a")).join(some.select("key", F.col("p").alias("b")), "key").where("a < b").select("a", "b").distinct()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = _signed(b.column(2), coordinates), _signed(b.column(3), coordinates)
@@ -141,39 +158,124 @@ def near_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", coor
             for k in range(0, coordinates, 16):
                 n[left] += (x[left, k : k + 16] == y[left, k : k + 16]).sum(axis=1, dtype=np.int32)
                 left = left[n[left] + max(0, coordinates - k - 16) >= threshold]
-            yield pa.record_batch([b.column(0).take(pa.array(left)), b.column(1).take(pa.array(left)), pa.array(n[left])], names=["doc_a", "doc_b", "matches"])
+            yield pa.record_batch([b.column(0).take(pa.array(left)), b.column(1).take(pa.array(left))], names=["a", "b"])
 
     both = (
-        met.join(reps.select(F.col("i").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(reps.select(F.col("i").alias("b"), F.col("sig").alias("sb")), "b")
+        met.join(signed.select(F.col("p").alias("a"), F.col("sig").alias("sa")), "a")
+        .join(signed.select(F.col("p").alias("b"), F.col("sig").alias("sb")), "b")
         .select("a", "b", "sa", "sb")
     )
-    between = both.mapInArrow(count, "doc_a bigint, doc_b bigint, matches int")
-    within = signed.where("i <> rep").select(F.col("rep").alias("doc_a"), F.col("i").alias("doc_b"), F.lit(coordinates).alias("matches"))
-    # only an identifier that stands on rows of several texts can give a pair twice
-    return between.unionByName(within).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    return both.mapInArrow(count, "a bigint, b bigint")
+
+
+def _bits(which: Column, coordinates: int) -> Column:
+    """Aggregate: the coordinates of some postings as bits, 32 to a number."""
+    of = lambda lo: F.bit_or(F.when((F.col("k") >= lo) & (F.col("k") < lo + 32) & which, F.expr(f"shiftleft(1L, k - {lo})")))
+    return F.array(*[F.coalesce(of(lo), F.lit(0).cast("bigint")) for lo in range(0, coordinates, 32)])
+
+
+def compared(left: tuple, right: tuple, k: int, coordinates: int, threshold: int, same: bool) -> np.ndarray:
+    """Which pairs of two blocks match and are to be counted in the list of coordinate k; same: they are one block.
+
+    A block: signatures, and bits of the coordinates under which they are in short and in long lists.
+    """
+    near = np.zeros((len(left[0]), len(right[0])), bool)
+    step = max(1, CELLS // max(1, len(right[0])))
+    for lo in range(0, len(left[0]), step):
+        a = slice(lo, lo + step)
+        n = np.zeros(near[a].shape, np.uint16)
+        elsewhere = np.zeros(n.shape, bool)  # both are in one short list, or in an earlier long one
+        for c in range(coordinates):
+            equal = left[0][a, c, None] == right[0][None, :, c]
+            n += equal
+            for kind in (1, 2) if c < k else (1,):
+                mine, its = (b[kind][:, c // 32] >> np.int64(c % 32) & 1 for b in (left, right))
+                if mine[a].any() and its.any():
+                    elsewhere |= equal & mine[a, None].astype(bool) & its[None].astype(bool)
+        near[a] = (n >= threshold) & ~elsewhere
+    return np.triu(near, 1) if same else near
+
+
+def roots(near: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest number of each one's group among the matches of two blocks."""
+    most = np.iinfo(np.int64).max
+    while True:
+        b1 = np.minimum(b, np.where(near, a[:, None], most).min(axis=0, initial=most))
+        a1 = np.minimum(a, np.where(near, b1[None], most).min(axis=1, initial=most))
+        if same:
+            a1 = b1 = np.minimum(a1, b1)
+        if (a1 == a).all() and (b1 == b).all():
+            return a, b
+        a, b = a1, b1
+
+
+def _long(lists: DataFrame, signed: DataFrame, coordinates: int, threshold: int) -> DataFrame:
+    """(p, root, links): what the pairs that meet in lists of more than LIST, and in no other, add: by cells of two blocks."""
+    long = F.col("n") > LIST
+    posts = lists.groupBy("p").agg(_bits(~long, coordinates).alias("short"), _bits(long, coordinates).alias("long"), F.collect_list(F.when(long, F.struct("key", "n"))).alias("of"))
+    posts = posts.where(F.size("of") > 0).join(signed, "p").select("p", "sig", "members", "short", "long", F.explode("of").alias("of"))
+    blocks = F.ceil(F.col("of.n") / BLOCK).cast("int")
+    posts = posts.withColumns({"key": F.col("of.key"), "own": F.pmod(F.xxhash64("p"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    cells = posts.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "p", "sig", "members", "short", "long")
+    words = len(range(0, coordinates, 32))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        k, x, y = (v.as_py() for v in key)
+        sides = [table.filter(pc.equal(table.column("own"), z)) for z in (x, y)]
+        blocks = [(_signed(t.column("sig"), coordinates), *(np.array([list(v) for v in t.column(c).to_pylist()], np.int64).reshape(-1, words) for c in ("short", "long"))) for t in sides]
+        near = compared(*blocks, k >> 32, coordinates, threshold, x == y)
+        p, weight = ([t.column(c).to_numpy() for t in sides] for c in ("p", "members"))
+        links = [near @ weight[1], weight[0] @ near]
+        found = list(zip(p, roots(near, *p, x == y), links, strict=True))
+        if x == y:
+            found = [(p[0], found[0][1], links[0] + links[1])]
+        out = [np.concatenate([c[f[2] > 0] for f in found for c in [f[j]]]) for j in range(3)]
+        return pa.table({"p": out[0], "root": out[1], "links": out[2]})
+
+    return cells.groupBy("key", "x", "y").applyInArrow(meet, "p bigint, root bigint, links bigint")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): every node of an edge with the smallest node that it is connected to, by alternating stars."""
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
+    least = lambda df: df.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
-        large = both.withColumn("m", F.least("u", F.min("v").over(w))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least(both), F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         lower = large.unionByName(e.select("u", "v")).distinct()
-        low = lower.withColumn("m", F.min("v").over(w))
-        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small)
+        low = least(lower)
+        small_ = lower.join(low, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("of").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        e = cut(small_)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
 
 
+def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", coordinates: int = COORDINATES, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, class_id, links) of every identifier: its class's smallest identifier, and how many other documents it matches."""
+    of, signed = classes_of(docs, text, doc_id, coordinates, shingle, seed)
+    of, lists = cut(of), cut(posted(signed, coordinates, threshold))
+    short, long = cut(_short(lists, signed, coordinates, threshold)), cut(_long(lists, signed, coordinates, threshold))
+    several = of.groupBy("i").agg(F.min("p").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    edges = short.unionByName(long.select(F.col("p").alias("a"), F.col("root").alias("b"))).unionByName(of.join(several, "i").select("a", F.col("p").alias("b")))
+    root = components(edges, "a", "b")
+    weight = signed.select("p", "members")
+    ends = short.select(F.col("a").alias("p"), F.col("b").alias("q")).unionByName(short.select(F.col("b").alias("p"), F.col("a").alias("q")))
+    links = ends.join(weight.select(F.col("p").alias("q"), F.col("members").alias("links")), "q").select("p", "links").unionByName(long.select("p", "links"))
+    links = links.groupBy("p").agg(F.sum("links").alias("links"))
+    all_of = signed.select("p", "rep", "members").join(root, F.col("p") == F.col("node"), "left").join(links, "p", "left")
+    all_of = all_of.select("p", "rep", F.coalesce("root", "p").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"))
+    named = all_of.join(all_of.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("p", "class_id", "links")
+    found = of.join(named, "p").groupBy("i").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    every = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    return every.join(found, F.col("doc_id") == F.col("i"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how: int) -> DataFrame:
     """The rows of docs without those of documents that are connected by matches to one of a smaller identifier."""
-    gone = components(near_pairs(docs, text, doc_id, **how), "doc_a", "doc_b").select(F.col("node").alias("ink_node"))
+    gone = cut(near_classes(docs, text, doc_id, **how).where("class_id <> doc_id").select(F.col("doc_id").alias("ink_node")))
     rows = docs.select(boxed(docs), F.col(f"`{doc_id}`").cast("bigint").alias("ink_i"))
-    return rows.join(gone, F.col("ink_i") == F.col("ink_node"), "left_anti").select("ink_row.*")
+    # where they are few, as checked, no text is shuffled
+    return rows.join(small(gone), F.col("ink_i") == F.col("ink_node"), "left_anti").select("ink_row.*")

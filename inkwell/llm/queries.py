@@ -36,8 +36,8 @@ def op5_chat_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("spans", F.array_join(spans, ","))
 
 
-def op6_minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_pairs(_table(spark, sf_dir, "documents"))
+def op6_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_tree_scores, op2_hilbert_packing, op3_grammar_shards, op4_pareto_mixing, op5_chat_rendering,
-        op6_minhash_pairs, op7_exact_dedup, op8_ivfpq_neighbours, op9_cotrained_quality, op10_toxicity,
+        op6_minhash_classes, op7_exact_dedup, op8_ivfpq_neighbours, op9_cotrained_quality, op10_toxicity,
     )
 }
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SMALL
@@ -54,28 +55,84 @@ def groups(pairs):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_all_pairs_and_their_groups(spark, seed):
-    rows = made(seed)
-    got = {(r["doc_a"], r["doc_b"]): r["matches"] for r in N.near_pairs(table(spark, rows).repartition(3)).collect()}
-    want = brute(rows)
-    same = groups(p for p, n in want.items() if n == N.COORDINATES)
-    # one signature's documents are given with the smallest of them, which stands for them in other pairs
-    assert got == {p: n for p, n in want.items() if (p[0] == same.get(p[0], p[0]) and p[1] == same.get(p[1], p[1])) or (n == N.COORDINATES and p[0] == same[p[1]])}
-    assert groups(got) == groups(want)
-    full = {(min(a, b), max(a, b)) for p, n in got.items() for a in [x for x in same if same[x] == p[0]] or [p[0]] for b in [x for x in same if same[x] == p[1]] or [p[1]] if a != b}
-    full |= {(a, b) for a in same for b in same if a < b and same[a] == same[b]}
-    assert full == set(want)
+def links(rows):
+    """How many (identifier, signature) each identifier's texts match."""
+    texts = sorted({(i, t) for i, t in rows if i is not None and t and t.split()})
+    sig, _ = N.signatures(pa.array([t for _, t in texts]), N.COORDINATES, N.SHINGLE, N.SEED)
+    entries = sorted({(i, s.tobytes()) for (i, _), s in zip(texts, sig, strict=True)})
+    at = np.array([np.frombuffer(s, np.uint32) for _, s in entries])
+    out = {}
+    for k, (i, _) in enumerate(entries):
+        out[i] = out.get(i, 0) + int(((at == at[k]).sum(axis=1) >= N.THRESHOLD).sum()) - 1
+    return out
+
+
+def check(spark, rows, parts=3):
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in N.near_classes(table(spark, rows).repartition(parts)).collect()}
+    want, n = groups(brute(rows)), links(rows)
+    assert got == {i: (want.get(i, i), n.get(i, 0)) for i, _ in rows if i is not None}
     kept = sorted(str(r["doc_id"]) for r in N.near_dedup(table(spark, rows)).collect())
-    gone = {x for x, r in groups(want).items() if x != r}
-    assert kept == sorted(str(i) for i, _ in rows if i not in gone)
+    assert kept == sorted(str(i) for i, _ in rows if want.get(i, i) == i)
+
+
+@pytest.mark.parametrize(("seed", "size"), [(0, (64, 1024)), (1, (3, 4)), (0, (0, 2))])
+def test_all_matches_and_their_classes(spark, monkeypatch, seed, size):
+    monkeypatch.setattr(N, "LIST", size[0])
+    monkeypatch.setattr(N, "BLOCK", size[1])
+    monkeypatch.setattr(N, "CELLS", 16)
+    check(spark, made(seed))
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Lists of some hundred documents, and signatures of a third of all rows."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(0, 40)):
+            copy[rng.randrange(300)] = rng.choice(base)
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, "one text that many have") for k in range(150)] + [(2000 + k, " ".join(rng.choices(base, k=50))) for k in range(50)]
+    check(spark, rows)
 
 
 def test_the_driver_s_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = {(r["doc_a"], r["doc_b"]) for r in N.near_pairs(docs).collect()}
-    assert groups(got) == groups(brute(rows))
+    got = {r["doc_id"]: r["class_id"] for r in N.near_classes(docs).collect()}
+    want = groups(brute(rows))
+    assert got == {i: want.get(i, i) for i, _ in rows}
+
+
+def test_signatures_are_those_of_plain_integers():
+    """Words, shingles and minima by Python's own integers, modulo 2**64 and 2**32."""
+    full, golden, base = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 | 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    def word(w):
+        return mixed(sum((b + 32 * (65 <= b <= 90) + 1) * pow(base, j, 1 << 64) for j, b in enumerate(w)) % (1 << 64) ^ (len(w) - 1))
+
+    texts = ["a b c d", "B  c\nd\te", "one", "zürich 日本 Zürich " * 5, "x" * 3000 + " y"]
+    sig, has = N.signatures(pa.array([*texts, "", None, " "]), N.COORDINATES, 2, N.SEED)
+    a, b = N.functions_of(N.COORDINATES, N.SEED)
+    assert has.tolist() == [True] * 5 + [False] * 3
+    for t, got in zip(texts, sig, strict=False):
+        h = [word(w) for w in t.encode().split()]
+        s = [mixed((x * golden + y) & full) for x, y in itertools.pairwise(h)] if len(h) > 1 else [mixed(h[0] * golden & full ^ 1)]
+        assert got.tolist() == [min(((x >> 32) * int(a[k]) + int(b[k])) % (1 << 32) for x in s) for k in range(N.COORDINATES)]
+
+
+def pairs(df):
+    """Pairs of documents of one class; only for classes of two."""
+    of = {}
+    for r in df.collect():
+        of.setdefault(r["class_id"], []).append(r["doc_id"])
+    return {tuple(sorted(c)) for c in of.values() if len(c) == 2}
 
 
 def test_copies_with_few_words_changed_are_found(spark):
@@ -88,7 +145,7 @@ def test_copies_with_few_words_changed_are_found(spark):
             copy[j] = f"v{rng.randrange(5000)}"
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
         planted.append((2 * k, 2 * k + 1))
-    got = {(r["doc_a"], r["doc_b"]) for r in N.near_pairs(table(spark, rows)).collect()}
+    got = pairs(N.near_classes(table(spark, rows)))
     assert len(got & set(planted)) >= 58 and not got - set(planted)
 
 
@@ -101,10 +158,10 @@ def test_components(spark):
 
 def test_one_identifier_on_several_rows_and_empty_tables(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (2, "other words are here now"), (3, "other words are here now")]
-    got = {(r["doc_a"], r["doc_b"]) for r in N.near_pairs(table(spark, rows)).collect()}
-    assert got == {(1, 2), (2, 3)}
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in N.near_classes(table(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
     assert {r["doc_id"] for r in N.near_dedup(table(spark, rows)).collect()} == {1}
-    assert N.near_pairs(table(spark, [])).collect() == [] and N.near_dedup(table(spark, [])).collect() == []
+    assert N.near_classes(table(spark, [])).collect() == [] and N.near_dedup(table(spark, [])).collect() == []
 
 
 def test_pairs_of_middling_similarity_against_exact_jaccard(spark):
@@ -122,6 +179,6 @@ def test_pairs_of_middling_similarity_against_exact_jaccard(spark):
             near.add((2 * k, 2 * k + 1))
         elif jaccard < 0.45:
             far.add((2 * k, 2 * k + 1))
-    got = {(r["doc_a"], r["doc_b"]) for r in N.near_pairs(table(spark, rows)).collect()}
+    got = pairs(N.near_classes(table(spark, rows)))
     assert len(near) > 60 and len(far) > 60
     assert len(near & got) >= 0.97 * len(near) and len(far & got) <= 0.03 * len(far)
