@@ -1,15 +1,23 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
 Coarse centroids (half the square root of the number of rows, rounded up) are
-found by Lloyd's iterations over all rows, and so is a codebook for each
-subspace of the rows' residuals to their centroids.  Each row is kept in its
-centroid's list with its code and itself.  Every row is also a query: it goes
-to the lists of its `probes` nearest centroids (of more, where these lists
+found by Lloyd's iterations over a sample of the rows, and so is a codebook for
+each part of the rows' residuals to their centroids.  The sample is what bounds
+the fit: about FIT_ROWS rows, or FIT_LIST for each list where that is more, all
+rows where there are fewer; chosen by their identifiers' hashes.  Every row is
+indexed: it is kept in its centroid's list with its code and itself.
+
+Queries are the rows whose identifier `every` divides, against all rows.  Each
+goes to the lists of its `probes` nearest centroids (of more, where these lists
 hold fewer than k others), where a table of the distances between its
 residual's parts and the codebooks gives the asymmetric distance to each code;
 the `rerank` best of a list, of equally good ones those of the smallest
-identifiers, are compared exactly, and the best of all lists are
-the query's neighbours.
+identifiers, are compared exactly, and the best of all lists are the query's
+neighbours.
+
+Residuals are cut into `parts` of equal width (as many parts as dimensions
+where these are fewer).  Where the dimensions can't be divided so, they are
+followed by zeros, which are the same for all rows and change no distance.
 
 How many lists must be probed depends on the data: few where it has clusters,
 many where it has none.  How many codes of a list must be reranked depends on
@@ -19,7 +27,7 @@ comparing these with all rows, and each one's place among its list's codes by
 going through the codes.  Of the numbers at which a share `reach` of them is
 found by the whole search, those of the least work are taken.
 
-Lists and their queries meet in parts of bounded size, however large or sought
+Lists and their queries meet in pieces of bounded size, however large or sought
 a list is.  Centroids and codebooks, which every executor gets, grow with the
 square root of the rows.
 
@@ -28,8 +36,9 @@ or of another dimension than most rows have (of equally frequent ones the
 largest) are neither queries nor neighbours; of rows of one identifier the one
 with the smallest embedding counts; equal distances are ordered by identifier;
 no row is its own neighbour; with fewer rows than k there are fewer
-neighbours; an empty table gives an empty result; other columns aren't looked
-at.
+neighbours; vectors of thousands of dimensions are compared whole; an empty
+table, or one without a query, gives an empty result; other columns aren't
+looked at.
 """
 
 from __future__ import annotations
@@ -42,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut
+from inkwell.llm.common import cut, small
 
 K = 10
 REACH = 0.95
@@ -50,6 +59,8 @@ TUNED_ON = 400
 PARTS = 16
 CODES = 256
 STEPS = 8
+EVERY = 50
+FIT_ROWS, FIT_LIST = 65_536, 64
 #: Rows of a list, and queries, that meet at once.
 LIST_ROWS, QUERY_ROWS = 32_768, 8_192
 #: Numbers of reranked rows that are held at once.
@@ -86,6 +97,20 @@ def nearest(x: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
     return out
 
 
+def padded(x: np.ndarray, parts: int) -> np.ndarray:
+    """Rows as (rows, parts, width), followed by zeros where parts of one width need more dimensions."""
+    width = -(-x.shape[1] // parts)
+    more = width * parts - x.shape[1]
+    return (np.pad(x, ((0, 0), (0, more))) if more else x).reshape(len(x), parts, width)
+
+
+def sample(rows: DataFrame, n: int, size: int, seed: int) -> DataFrame:
+    """About so many of n rows, chosen by their identifiers' hashes."""
+    if n <= size:
+        return rows
+    return cut(rows.where(F.pmod(F.xxhash64(F.lit(seed + 3), "id"), F.lit(1 << 30)) < int(size / n * (1 << 30))))
+
+
 def _chosen(rows: DataFrame, n: int, seed: int) -> np.ndarray:
     """n rows in the order of their identifiers' hashes."""
     got = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n).select("v").toArrow()
@@ -112,7 +137,7 @@ def _lloyd(rows: DataFrame, start: np.ndarray, coarse: np.ndarray | None, steps:
                 x = matrix(b.column(0))
                 if lists is not None:
                     x = x - lists[nearest(x, lists)[:, 0]]
-                x = x.reshape(len(x), groups, width)
+                x = padded(x, groups)
                 for g in range(groups):
                     to = nearest(x[:, g], c[g])[:, 0]
                     total[g, :, width] += np.bincount(to, minlength=codes)
@@ -131,14 +156,14 @@ def _lloyd(rows: DataFrame, start: np.ndarray, coarse: np.ndarray | None, steps:
 
 
 def index(rows: DataFrame, parts: int, codes: int, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coarse centroids (lists, dimensions) and codebooks (parts, codes, dimensions of a part)."""
+    """Coarse centroids (lists, dimensions) and codebooks (parts, codes, width of a part)."""
     n = rows.count()
-    coarse = _chosen(rows, math.ceil(math.sqrt(n) / 2), seed)
-    coarse = _lloyd(rows, coarse[None], None, steps)[0]
-    width = coarse.shape[1] // parts
-    first = _chosen(rows, min(codes, n), seed + 1)
-    first = (first - coarse[nearest(first, coarse)[:, 0]]).reshape(len(first), parts, width).transpose(1, 0, 2)
-    return coarse, _lloyd(rows, np.ascontiguousarray(first), coarse, steps)
+    lists = math.ceil(math.sqrt(n) / 2)
+    some = sample(rows, n, max(FIT_ROWS, FIT_LIST * lists), seed)
+    coarse = _lloyd(some, _chosen(some, lists, seed)[None], None, steps)[0]
+    first = _chosen(some, min(codes, n), seed + 1)
+    first = padded(first - coarse[nearest(first, coarse)[:, 0]], parts).transpose(1, 0, 2)
+    return coarse, _lloyd(some, np.ascontiguousarray(first), coarse, steps)
 
 
 def code_distances(r: np.ndarray, books: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -156,7 +181,7 @@ def _codes(column: pa.Array, parts: int) -> np.ndarray:
 
 def places(coded: DataFrame, coarse: np.ndarray, books: np.ndarray, k: int, tuned_on: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the true neighbours of some rows: the place of the list among the row's lists, and of the code among those of the list's other rows."""
-    parts, _, width = books.shape
+    parts = len(books)
     some = coded.select("id", "v").orderBy(F.xxhash64(F.lit(seed + 2), "id"), "id").limit(tuned_on).toArrow()
     q_ids, q = some.column("id").to_numpy(), np.concatenate([matrix(c) for c in some.column("v").chunks])
 
@@ -185,7 +210,7 @@ def places(coded: DataFrame, coarse: np.ndarray, books: np.ndarray, k: int, tune
     own_code, own = _codes(near.column("code"), parts), np.empty(len(of), np.float32)
     for j, at in wanted.items():
         askers, row = np.unique(of[at], return_inverse=True)
-        own[at] = code_distances((q[askers] - coarse[j]).reshape(-1, parts, width), books, own_code[at])[row, np.arange(len(row))]
+        own[at] = code_distances(padded(q[askers] - coarse[j], parts), books, own_code[at])[row, np.arange(len(row))]
     sent = coded.sparkSession.sparkContext.broadcast((coarse, books, q_ids, q))
 
     def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +226,7 @@ def places(coded: DataFrame, coarse: np.ndarray, books: np.ndarray, k: int, tune
                 askers, row = np.unique(of[at], return_inverse=True)
                 for lo in range(0, len(rows), 1024):
                     some = rows[lo : lo + 1024]
-                    d = code_distances((asker[askers] - c[lists[rows[0]]]).reshape(-1, parts, width), book, code[some])
+                    d = code_distances(padded(asker[askers] - c[lists[rows[0]]], parts), book, code[some])
                     d[asker_ids[askers][:, None] == ids[some]] = np.inf
                     d = d[row]
                     n[at] += ((d < own[at, None]) | ((d == own[at, None]) & (ids[some] < who[at, None]))).sum(axis=1)
@@ -253,7 +278,7 @@ def smallest(d: np.ndarray, take: int) -> np.ndarray:
 
 def search_list(ids: np.ndarray, x: np.ndarray, code: np.ndarray, q_ids: np.ndarray, q: np.ndarray, centroid: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's place, identifier, squared distance) of each query's best k in a list, by exact distance among its `rerank` best codes."""
-    parts, _, width = books.shape
+    parts = len(books)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     by_id = np.argsort(ids)
     ids, x, code = ids[by_id], x[by_id], code[by_id]
@@ -261,7 +286,7 @@ def search_list(ids: np.ndarray, x: np.ndarray, code: np.ndarray, q_ids: np.ndar
     step = max(1, min(256, EXACT // (take * q.shape[1])))
     for lo in range(0, len(q), step):
         some = q[lo : lo + step]
-        d = code_distances((some - centroid).reshape(len(some), parts, width), books, code)
+        d = code_distances(padded(some - centroid, parts), books, code)
         best = smallest(d, take)
         exact = ((x[best].astype(np.float64) - some[:, None, :].astype(np.float64)) ** 2).sum(axis=2)
         who = ids[best]
@@ -273,25 +298,24 @@ def search_list(ids: np.ndarray, x: np.ndarray, code: np.ndarray, q_ids: np.ndar
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, probes: int | None = None, rerank: int | None = None, reach: float = REACH, tuned_on: int = TUNED_ON, parts: int = PARTS, codes: int = CODES, steps: int = STEPS, seed: int = SEED) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest rows of every row, by Euclidean distance."""
+def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, every: int = EVERY, probes: int | None = None, rerank: int | None = None, reach: float = REACH, tuned_on: int = TUNED_ON, parts: int = PARTS, codes: int = CODES, steps: int = STEPS, seed: int = SEED) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest rows of every row whose identifier `every` divides, by Euclidean distance."""
     rows = usable(table, vec_id, embedding)
     spark = table.sparkSession
     form = "vec_id bigint, rank int, neighbour_id bigint, distance double"
     first = rows.first()
     if first is None:
         return spark.createDataFrame([], form)
-    parts = math.gcd(parts, len(first["v"]))
+    parts = min(parts, len(first["v"]))
     coarse, books = index(rows, parts, codes, steps, seed)
     sent = spark.sparkContext.broadcast((coarse, books))
-    width = coarse.shape[1] // parts
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, book = sent.value
         for b in batches:
             x = matrix(b.column(1))
             near = nearest(x, c)[:, 0]
-            r = (x - c[near]).reshape(len(x), parts, width)
+            r = padded(x - c[near], parts)
             code = np.stack([nearest(r[:, p], book[p])[:, 0] for p in range(parts)], axis=1).astype(np.uint8)
             yield pa.record_batch([b.column(0), b.column(1), pa.array([row.tobytes() for row in code], pa.binary()), pa.array(near)], names=["id", "v", "code", "list"])
 
@@ -308,13 +332,13 @@ def neighbours(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), lists_of(matrix(b.column(1)), sent.value[0], sizes, n_probes, k)], names=["q_id", "q_v", "lists"])
 
-    asked = coded.select("id", "v").mapInArrow(ask, "q_id bigint, q_v array<float>, lists array<int>").select("q_id", "q_v", F.explode("lists").alias("list"))
+    asked = coded.where(F.col("id") % every == 0).select("id", "v").mapInArrow(ask, "q_id bigint, q_v array<float>, lists array<int>").select("q_id", "q_v", F.explode("lists").alias("list"))
     asked_of = dict(asked.groupBy("list").count().collect())
     size = {j: (max(1, math.ceil(held_by[j] / LIST_ROWS)), max(1, math.ceil(n / QUERY_ROWS))) for j, n in asked_of.items() if j in held_by}
-    split = spark.createDataFrame([(a, *b) for a, b in size.items()], "list int, segments int, chunks int")
-    held = coded.select("id", "v", "code", "list").join(F.broadcast(split), "list")
+    split = small(spark.createDataFrame([(a, *b) for a, b in size.items()], "list int, segments int, chunks int"))
+    held = coded.select("id", "v", "code", "list").join(split, "list")
     held = held.withColumn("segment", F.pmod(F.xxhash64("id"), F.col("segments")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = asked.join(F.broadcast(split), "list")
+    asked = asked.join(split, "list")
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("q_id"), F.col("chunks")).cast("int")).withColumn("segment", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -31,7 +31,7 @@ def test_recall_against_all_distances(spark, clusters):
     centres = rng.normal(size=(clusters, 32)) * 3
     x = (centres[rng.integers(0, clusters, 900)] + rng.normal(size=(900, 32))).astype(np.float32)
     ids = rng.permutation(5000)[:900]
-    got = found(I.neighbours(table(spark, zip(ids.tolist(), x, strict=True))))
+    got = found(I.neighbours(table(spark, zip(ids.tolist(), x, strict=True)), every=1))
     want, d = truth(ids, x, 10)
     assert set(got) == set(want) and all([r["rank"] for r in rows] == list(range(1, 11)) for rows in got.values())
     hits = sum(len({r["neighbour_id"] for r in got[i]} & set(want[i])) for i in want)
@@ -45,16 +45,16 @@ def test_the_driver_s_embeddings(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = df.collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32)
-    got, (want, _) = found(I.neighbours(df)), truth(ids, x, 10)
+    got, (want, _) = found(I.neighbours(df, every=1)), truth(ids, x, 10)
     assert sum(len({r["neighbour_id"] for r in got[i]} & set(want[i])) for i in want) >= 0.9 * 10 * len(want)
 
 
 def test_rows_that_can_t_be_compared(spark):
     rows = [(1, [0, 0]), (2, [1, 0]), (3, [5, 5]), (None, [0, 0]), (4, None), (5, [1, None]), (6, [float("nan"), 0]), (7, [float("inf"), 0]), (8, [1, 2, 3]), (9, []), (2, [1, 0]), (10, [0, 0])]
-    got = found(I.neighbours(table(spark, rows)))
+    got = found(I.neighbours(table(spark, rows), every=1))
     assert {i: [r["neighbour_id"] for r in rs] for i, rs in got.items()} == {1: [10, 2, 3], 2: [1, 10, 3], 3: [2, 1, 10], 10: [1, 2, 3]}
     assert I.neighbours(table(spark, [])).collect() == [] and I.neighbours(table(spark, [(1, [1, 2])])).collect() == []
-    same = found(I.neighbours(table(spark, [(k, [1, 1, 1, 1]) for k in range(30)]), k=3))
+    same = found(I.neighbours(table(spark, [(k, [1, 1, 1, 1]) for k in range(30)]), k=3, every=1))
     assert all([r["neighbour_id"] for r in rs] == [j for j in range(4) if j != i][:3] for i, rs in same.items()) and len(same) == 30
 
 
@@ -63,7 +63,7 @@ def test_lists_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(I, "QUERY_ROWS", 15)
     rng = np.random.default_rng(4)
     x, ids = rng.normal(size=(200, 8)).astype(np.float32), np.arange(200)
-    got, (want, _) = found(I.neighbours(table(spark, zip(ids.tolist(), x, strict=True)), probes=8, rerank=200)), truth(ids, x, 10)
+    got, (want, _) = found(I.neighbours(table(spark, zip(ids.tolist(), x, strict=True)), probes=8, rerank=200, every=1)), truth(ids, x, 10)
     assert all([r["neighbour_id"] for r in got[i]] == want[i] for i in want)
 
 
@@ -72,13 +72,13 @@ def test_recall_in_clusters_with_thousands_of_rows_a_list(spark, monkeypatch):
     monkeypatch.setattr(I, "_chosen", lambda rows, n, seed: real(rows, 4 if seed == I.SEED else n, seed))  # 4 lists
     rng = np.random.default_rng(6)
     x = (rng.normal(size=(4, 64))[rng.integers(0, 4, 12_000)] * 6 + rng.normal(size=(12_000, 64))).astype(np.float32)
-    got = found(I.neighbours(table(spark, enumerate(x.tolist()))))
+    got = found(I.neighbours(table(spark, enumerate(x.tolist())), every=30))
     hits = 0
     for i in range(0, 12_000, 30):
         d = ((x.astype(np.float64) - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         hits += len({r["neighbour_id"] for r in got[i]} & set(np.argsort(d)[:10].tolist()))
-    assert len(got) == 12_000 and all(len(rows) == 10 for rows in got.values())
+    assert len(got) == 400 and all(len(rows) == 10 for rows in got.values())
     assert hits >= 0.93 * 10 * 400
 
 
@@ -94,5 +94,37 @@ def test_hundreds_of_equal_vectors_are_ordered_by_identifier(spark):
     rows = [(k * 7919 % 1009, [1, 1, 1, 1]) for k in range(200)]
     want = sorted(i for i, _ in rows)
     for n in (3, 7):
-        same = found(I.neighbours(table(spark, rows).repartition(n), k=3, probes=1, rerank=3))
+        same = found(I.neighbours(table(spark, rows).repartition(n), k=3, probes=1, rerank=3, every=1))
         assert {i: [r["neighbour_id"] for r in rs] for i, rs in same.items()} == {i: [j for j in want[:4] if j != i][:3] for i in want}
+
+
+def recall(x, got, every):
+    hits = 0
+    for i in range(0, len(x), every):
+        d = ((x.astype(np.float64) - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len({r["neighbour_id"] for r in got[i]} & set(np.argsort(d)[:10].tolist()))
+    return hits / (10 * len(range(0, len(x), every)))
+
+
+@pytest.mark.parametrize("fit_rows", [65_536, 1_000])
+def test_recall_of_the_query_set_among_thousands(spark, monkeypatch, fit_rows):
+    """No clusters; the index is fitted to all rows, or to a sample of a sixth."""
+    monkeypatch.setattr(I, "FIT_ROWS", fit_rows)
+    x = np.random.default_rng(12).normal(size=(6_000, 64)).astype(np.float32)
+    got = found(I.neighbours(table(spark, enumerate(x.tolist()))))
+    assert sorted(got) == list(range(0, 6_000, 50)) and all(len(r) == 10 for r in got.values())
+    assert recall(x, got, 50) >= 0.9
+
+
+@pytest.mark.parametrize("dimensions", [1, 7, 63])
+def test_dimensions_that_parts_don_t_divide(spark, dimensions):
+    x = np.random.default_rng(dimensions).normal(size=(600, dimensions)).astype(np.float32)
+    coarse, books = I.index(I.usable(table(spark, enumerate(x.tolist())), "vec_id", "embedding"), min(I.PARTS, dimensions), 256, 2, 1)
+    assert len(books) == min(16, dimensions) and books.shape[0] * books.shape[2] >= dimensions > books.shape[0] * (books.shape[2] - 1)
+    got = found(I.neighbours(table(spark, enumerate(x.tolist())), every=10))
+    assert recall(x, got, 10) >= 0.9
+
+
+def test_a_table_without_queries(spark):
+    assert I.neighbours(table(spark, [(1, [1, 2]), (2, [2, 1])])).collect() == []
