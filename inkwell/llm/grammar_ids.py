@@ -4,9 +4,11 @@ Texts are encoded by a public byte-level BPE vocabulary, whole shards of
 documents at a time.  In each round the pairs of neighbouring ids of a shard
 are counted, and every one that is at least a quarter as frequent as the most
 frequent is replaced by a nonterminal of its own; where two of them overlap the
-more frequent one wins.  Pairs never reach over a document's end.  Rounds go on
-until no pair is frequent enough (or for `rounds`, if given); where hashed counts
-find few, pairs are counted exactly.
+more frequent one wins.  Pairs never reach over a document's end, and occurrences
+that overlap count once.  Rounds go on until no pair occurs twice (`min_count`;
+or for `rounds`, if given); where hashed counts find few, pairs are counted
+exactly.  As several pairs are replaced in a round, the grammar isn't that of the
+sequential algorithm, but no larger than 1.05 times that on the tested inputs.
 
 A shard is one row: its alphabet (the terminals that occur, then a rule for
 each nonterminal), every symbol's expansion length, the sequence in 2 or 4
@@ -38,7 +40,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's public rule of cutting a text into words.
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_TOKENS = 1 << 20
-MIN_COUNT = 4
+MIN_COUNT = 2
 TABLE_BITS = 20
 CACHED = 500_000
 WORD_BITS = 20
@@ -171,6 +173,7 @@ def encoder_of(name: int, ranks: dict[bytes, int]) -> Encoder:
 
 def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, sequence, documents' begins in it): symbols count the terminals first, then the rules."""
+    min_count = max(2, min_count)  # a pair that occurs once can't be shortened
     terminals = np.flatnonzero(np.bincount(ids))
     dense = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
     dense[terminals] = np.arange(len(terminals), dtype=np.int32)
@@ -209,7 +212,11 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_cou
             rep = held[slot]
             counted = (left[rep] == left[places]) & (right[rep] == right[places])
             places, slot = places[counted], slot[counted]
-        count = np.bincount(slot, minlength=len(some))
+        # in a run of one id only every second place can be replaced
+        follows = np.concatenate([[False], (places[1:] == places[:-1] + 1) & (slot[1:] == slot[:-1])]) if len(places) else np.zeros(0, bool)
+        heads = np.flatnonzero(~follows)
+        odd = ((np.arange(len(places)) - heads[np.cumsum(~follows) - 1]) & 1).astype(bool) if len(places) else follows
+        count = np.bincount(slot[~odd], minlength=len(some))
         most = int(count.max(initial=0))
         if exact and most < min_count:
             break
@@ -231,7 +238,7 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_cou
         take = wins[stretch] & ((np.arange(len(places)) - first[stretch]) & 1 == 0)
         places, slot = places[take], (rank[take] & 0xFFFFFFFF)
         taken = np.bincount(slot, minlength=len(some))
-        kept = taken[slot] >= min(min_count, 2)
+        kept = taken[slot] >= 2
         places, slot = places[kept], slot[kept]
         if not len(places):
             exact = True

@@ -62,7 +62,54 @@ def test_rounds_go_on_until_no_pair_is_frequent():
     at = np.concatenate([np.arange(0, len(ids), 1000), [len(ids)]])
     terminals, rules, seq, begins = G.compress(ids, at)
     assert (G.expand(seq.astype(np.int32), terminals, rules) == ids).all()
-    inside = np.ones(len(seq), bool)
-    inside[begins[1:] - 1] = False
-    pairs = (seq[:-1].astype(np.int64) << 32 | seq[1:])[inside[:-1]]
-    assert np.unique(pairs, return_counts=True)[1].max() < G.MIN_COUNT
+    assert max(nonoverlapping(seq.tolist(), begins.tolist()).values()) < 2 == G.MIN_COUNT
+
+
+def nonoverlapping(seq, begins):
+    """How often each pair occurs without overlapping itself, over no document's end."""
+    count, last = {}, {}
+    for a, b in zip(begins, begins[1:], strict=False):
+        for i in range(a, b - 1):
+            p = (seq[i], seq[i + 1])
+            if last.get(p) != i - 1 or p[0] != p[1]:
+                count[p], last[p] = count.get(p, 0) + 1, i
+            else:
+                last.pop(p)
+    return count
+
+
+def sequential(ids, at):
+    """Re-Pair as it is published: one most frequent pair after another."""
+    docs, rules = [ids[a:b] for a, b in zip(at, at[1:], strict=False)], 0
+    while True:
+        flat, begins = [x for d in docs for x in d], np.cumsum([0, *map(len, docs)]).tolist()
+        count = nonoverlapping(flat, begins)
+        pair = max(count, key=count.get, default=None)
+        if pair is None or count[pair] < 2:
+            return len(flat) + 2 * rules
+        for d in docs:
+            i = 0
+            while i < len(d) - 1:
+                if (d[i], d[i + 1]) == pair:
+                    d[i : i + 2] = [-1 - rules]
+                i += 1
+        rules += 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_grammars_are_about_as_small_as_the_sequential_algorithm_s(seed):
+    rng = np.random.default_rng(seed)
+    words = [rng.integers(0, 60, rng.integers(2, 12)) for _ in range(120)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.4, 500) % 120] + [np.zeros(41, int)]).astype(np.int32)
+    at = np.array([0, 700, 701, 701, len(ids)])
+    terminals, rules, seq, begins = G.compress(ids, at)
+    assert (G.expand(seq, terminals, rules) == ids).all()
+    assert len(seq) + 2 * len(rules) <= 1.05 * sequential(ids.tolist(), at.tolist())
+
+
+@pytest.mark.parametrize("ids", [[7] * n for n in (1, 2, 3, 4, 5, 8, 9, 31)] + [[1, 1, 1, 2, 2, 2, 1, 1, 2], [1, 2] * 9 + [1]])
+def test_runs_of_one_id_come_to_an_end(ids):
+    ids = np.array(ids, np.int32)
+    terminals, rules, seq, begins = G.compress(ids, np.array([0, len(ids)]))
+    assert G.expand(seq, terminals, rules).tolist() == ids.tolist()
+    assert max(nonoverlapping(seq.tolist(), begins.tolist()).values(), default=0) < 2
