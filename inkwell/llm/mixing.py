@@ -12,11 +12,13 @@ however the table is partitioned.
 Only (ratio, identifier) is sorted; the texts are never shuffled.
 
 Cases: rows without source are a source of their own; a null text has no
-size; rows of a source without size get one copy each; a source that explicit
-weights don't name, or give 0, gets none; rows of one identifier (or of none)
-draw the same number and are taken or left together, so ties there can make
-the sample larger; an empty table gives an empty result; other columns aren't
-looked at.
+size, a very long one counts whole; rows of a source without size get one copy
+each; a source that explicit weights don't name, or give 0, gets none; rows of
+one identifier (or of none) draw the same number, and are ordered by identifier
+(none first), source and a digest of the whole row, so that the sample has its
+size whatever repeats; of rows that are equal in everything any may be taken;
+an empty table gives an empty result; other columns aren't looked at but for
+that digest.
 """
 
 from __future__ import annotations
@@ -65,16 +67,38 @@ def with_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
         odds = F.col("ink_u") / (1 - F.col("ink_u")) * ((1 - p) / p)
         return df.withColumn("ink_q", F.when(F.col("ink_due") % MICRO > 0, odds)).withColumn("ink_i", F.col(f"`{doc_id}`").cast("bigint"))
 
-    taken = F.lit(False)
+    taken, equal, n_equal, n_taken = F.lit(False), None, 0, 0
     if take:
         slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([doc_id, source])])
-        slim = rated(slim).where("ink_q IS NOT NULL").select("ink_q", "ink_i")
-        last = ranked(slim, [F.col("ink_q"), F.col("ink_i")]).where(F.col("before") == take - 1).select("ink_q", "ink_i").first()
-        least = F.lit(-(1 << 63))
-        at = F.lit(last["ink_i"]) if last["ink_i"] is not None else least
-        taken = F.coalesce((F.col("ink_q") < F.lit(last["ink_q"])) | ((F.col("ink_q") == F.lit(last["ink_q"])) & (F.coalesce(F.col("ink_i"), least) <= at)), F.lit(False))
-    copies = F.floor(F.col("ink_due") / MICRO).cast("bigint") + taken.cast("bigint")
-    return rated(docs).withColumn("ink_copies", copies).select(*[F.col(f"`{c}`") for c in docs.columns], "ink_copies")
+        line = ranked(rated(slim).where("ink_q IS NOT NULL").select("ink_q", "ink_i"), [F.col("ink_q"), F.col("ink_i")])
+        last = line.where(F.col("before") == take - 1).select("ink_q", "ink_i").first()
+        q, i = F.lit(last["ink_q"]), F.lit(last["ink_i"]).cast("bigint")
+        tie = F.coalesce((F.col("ink_q") == q) & F.col("ink_i").eqNullSafe(i), F.lit(False))
+        taken = F.coalesce((F.col("ink_q") < q) | ((F.col("ink_q") == q) & (F.col("ink_i").isNull() & i.isNotNull() | (F.col("ink_i") < i))), F.lit(False))
+        tied = line.where(tie).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("ahead")).first()
+        left = take - tied["ahead"]
+        if left == tied["n"]:
+            taken = taken | tie
+        else:  # rows of one identifier, of which not all are taken
+            digest = F.sha2(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"), 256)
+            key = F.struct(F.col(f"`{source}`").cast("string").alias("s"), digest.alias("d"))
+            line = ranked(rated(docs).where(tie).select(key.alias("ink_h")), [F.col("ink_h")])
+            last = line.where(F.col("before") == left - 1).first()["ink_h"]
+            at = F.struct(F.lit(last["s"]).cast("string").alias("s"), F.lit(last["d"]).alias("d"))
+            tied = line.where(F.col("ink_h").eqNullSafe(at)).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("ahead")).first()
+            n_equal, n_taken = tied["n"], left - tied["ahead"]
+            equal = tie & F.when(tie, key).eqNullSafe(at)
+            taken = taken | (tie & F.coalesce(F.when(tie, key) < at, F.lit(False)))
+    whole = F.floor(F.col("ink_due") / MICRO).cast("bigint")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = rated(docs)
+    if equal is None:
+        return rows.withColumn("ink_copies", whole + taken.cast("bigint")).select(*columns, "ink_copies")
+    # rows that are equal in everything are made anew from one of them, so many with and so many without a copy more
+    one = rows.where(equal).limit(1).select(F.struct(*columns).alias("ink_one"), whole.alias("ink_whole"), F.lit(0).cast("bigint").alias("ink_k"))
+    many = docs.sparkSession.range(n_equal).select("id", (F.col("id") * 0).alias("ink_k")).join(F.broadcast(one), "ink_k")  # a single row
+    many = many.select("ink_one.*", (F.col("ink_whole") + (F.col("id") < n_taken).cast("bigint")).alias("ink_copies"))
+    return rows.where(~equal).withColumn("ink_copies", whole + taken.cast("bigint")).select(*columns, "ink_copies").unionByName(many)
 
 
 def sample_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
@@ -97,10 +121,10 @@ WITH per AS (SELECT source, count(*) AS n, coalesce(sum(length(text)), 0) AS t F
 shares AS (SELECT source, n, t, pow(CAST(t AS DOUBLE), {temper}) AS w FROM per),
 totals AS (SELECT sum(t) AS all_t, sum(w) AS all_w, max(CASE WHEN w > 0 THEN t / w END) AS most FROM shares WHERE t > 0),
 due AS (SELECT source, n, CASE WHEN t = 0 THEN 1000000 WHEN w <= 0 THEN 0 ELSE CAST(round({size} / t * 1000000) AS BIGINT) END AS d FROM shares, totals),
-rated AS (SELECT doc_id, d // 1000000 AS whole, d % 1000000 / 1000000.0::DOUBLE AS p,
+rated AS (SELECT doc_id, documents.source, d // 1000000 AS whole, d % 1000000 / 1000000.0::DOUBLE AS p,
   (CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents JOIN due ON documents.source IS NOT DISTINCT FROM due.source),
-placed AS (SELECT doc_id, whole, p, row_number() OVER (ORDER BY CASE WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END NULLS LAST, doc_id) AS r FROM rated),
+placed AS (SELECT doc_id, whole, p, row_number() OVER (ORDER BY CASE WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END NULLS LAST, doc_id NULLS FIRST, source NULLS FIRST) AS r FROM rated),
 size AS (SELECT (sum(n * (d % 1000000)) + 500000) // 1000000 AS take FROM due)
 """
 SQL = (

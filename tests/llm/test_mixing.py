@@ -59,6 +59,33 @@ def test_without_a_budget_no_row_is_left_out(spark):
     assert len(got) == 500 and all(got[k] == 1 for k in range(500) if k % 10) and all(got[k] >= 2 for k in range(0, 500, 10))
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_sample_has_its_size_whatever_repeats(spark, parts):
+    none = [(None, "x" * 10, "ab"[k % 10 == 0]) for k in range(1000)]
+    for rows in (none, [(7, t, s) for _, t, s in none], [(k % 3 or None, "x" * (10 + k % 2), s) for k, (_, _, s) in enumerate(none)]):
+        got = Counter()
+        for r in M.sample_copies(table(spark, rows).repartition(parts), weights={"a": 0.5, "b": 0.5}, budget=1.0).collect():
+            got[r["doc_id"]] += r["copies"]
+        size = Counter()
+        for _, t, s in rows:
+            size[s] += len(t)
+        due = {s: round(sum(size.values()) / 2 / size[s] * M.MICRO) for s in size}
+        assert sum(got.values()) == sum(due[s] // M.MICRO for _, _, s in rows) + (sum(due[s] % M.MICRO for _, _, s in rows) + M.MICRO // 2) // M.MICRO
+        out = M.mixed(table(spark, rows).repartition(parts), weights={"a": 0.5, "b": 0.5}, budget=1.0)
+        assert out.count() == sum(got.values()) and {r["source"] for r in out.select("source").distinct().collect()} == {"a", "b"}
+
+
+def test_ties_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(None if k % 3 else k % 5, "x" * (1 + k % 2), "abc"[k % 3]) for k in range(200)]
+    table(spark, rows).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = Counter(con.execute(M.SQL).fetchall())
+    assert Counter((r["doc_id"], r["copies"]) for r in M.sample_copies(table(spark, rows)).collect()) == want
+
+
 def test_rows_of_every_kind(spark):
     rows = [(1, "abc", None), (2, None, "empty"), (3, "", "empty"), (None, "x", "a"), (4, "x" * 50_000, "a"), (4, "x", "a")]
     out = M.mixed(table(spark, rows), budget=None)
