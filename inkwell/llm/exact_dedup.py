@@ -12,7 +12,7 @@ A text is identified by 128 bits of its SHA-256 digest, by which runs are
 sorted; equal ones are verified at every level by the digest's other 128 bits
 and the text's length before the smaller identifier is kept.
 
-Cases: a null text is no copy of anything, and its row stays; empty texts are
+Cases: a very long text is hashed whole; a null text is no copy of anything, and its row stays; empty texts are
 copies of one another; a null identifier counts as larger than any other, so
 such a row stays only if no copy has an identifier; of rows that are equal in
 identifier and text one stays; an empty table gives an empty result; columns
@@ -27,10 +27,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import boxed, cut, with_all
+from inkwell.llm.common import boxed, cut, small, with_all
 
 BITS = 3
 #: Rows that a last run has, about; sets the number of rounds.
@@ -38,7 +38,7 @@ RUN_ROWS = 16_384
 #: Rows of a first run at most; a partition of more makes several.
 FIRST_ROWS = 262_144
 NO_ID = np.iinfo(np.int64).max
-_RUN = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8"), ("len", "<i8"), ("id", "<i8"), ("n", "<i8")])
+_RUN = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8"), ("len", "<i8"), ("id", "<i8"), ("n", "<i8"), ("twins", "<i8")])
 _SCHEMA = "slot int, data binary"
 _ARROW = pa.schema([("slot", pa.int32()), ("data", pa.binary())])
 
@@ -61,6 +61,8 @@ def merge(runs: np.ndarray) -> np.ndarray:
     out = s[first]
     out["id"] = np.minimum.reduceat(s["id"], first)
     out["n"] = np.add.reduceat(s["n"], first)
+    least = np.repeat(out["id"], np.diff(np.append(first, len(s))))
+    out["twins"] = np.add.reduceat(np.where(s["id"] == least, s["twins"], 0), first)
     return out
 
 
@@ -90,7 +92,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.Recor
             run[k] = raw[:, i]
         run["len"] = b.column(1).to_numpy()
         run["id"] = b.column(2).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        run["n"] = 1
+        run["n"] = run["twins"] = 1
         held.append(run)
         if sum(map(len, held)) >= FIRST_ROWS:
             yield _batch(_split(slot, merge(np.concatenate(held)), 0))
@@ -109,22 +111,25 @@ def _meet(following: int | None) -> Callable[[tuple, pa.Table], pa.Table]:
         raw = np.stack([run[k] for k in "abcd"], axis=1).astype(">u8").tobytes()
         digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(run), [None, pa.py_buffer(raw)]).cast(pa.binary())
         ids = pa.array(run["id"], mask=run["id"] == NO_ID)
-        return pa.table({"ink_digest": digests, "ink_id": ids, "copies": run["n"]})
+        return pa.table({"ink_digest": digests, "ink_id": ids, "copies": run["n"], "twins": run["twins"]})
 
     return meet
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int | None = None) -> DataFrame:
-    """ink_digest (of 32 bytes), ink_id and copies of every distinct text that isn't null."""
+    """ink_digest (of 32 bytes), ink_id, copies and twins of every distinct text that isn't null.
+
+    copies: how many rows have the text; twins: how many of these have the identifier that stays.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
     if rounds is None:
-        rounds = max(1, math.ceil(math.log(max(1, docs.count() / RUN_ROWS)) / math.log(1 << BITS)))
+        rounds = max(2, math.ceil(math.log(max(1, docs.count() / RUN_ROWS)) / math.log(1 << BITS)))
     n_rounds = rounds
     slim = rows.select(F.unhex(F.sha2("t", 256)).alias("g"), F.octet_length("t").cast("bigint").alias("l"), "i")
     parts = slim.mapInArrow(lambda it: runs_of(it, n_rounds), _SCHEMA)
     for r in range(rounds):
         last = r == rounds - 1
-        parts = parts.groupBy("slot").applyInArrow(_meet(None if last else r + 1), "ink_digest binary, ink_id bigint, copies bigint" if last else _SCHEMA)
+        parts = parts.groupBy("slot").applyInArrow(_meet(None if last else r + 1), "ink_digest binary, ink_id bigint, copies bigint, twins bigint" if last else _SCHEMA)
     return parts
 
 
@@ -136,16 +141,19 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rou
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, in its columns; of rows equal in identifier and text any one."""
-    # digest and identifier as one key: the join's and the window's partitioning are the same, so texts are shuffled once
-    key = lambda digest, i: F.concat(digest, F.coalesce(i.cast("string"), F.lit("")).cast("binary"))
-    kept = cut(survivors(docs, text, doc_id).select(key(F.col("ink_digest"), F.col("ink_id")).alias("ink_k")))
-    t, i = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
-    rows = docs.where(t.isNotNull()).select(boxed(docs), key(F.unhex(F.sha2(t, 256)), i.cast("bigint")).alias("ink_d"))
-    met = rows.join(kept, F.col("ink_d") == F.col("ink_k"), "left_semi")
-    order = Window.partitionBy("ink_d").orderBy("ink_d")
-    one = met.withColumn("ink_r", F.row_number().over(order)).where("ink_r = 1").select("ink_row.*")
-    return one.unionByName(docs.where(t.isNull()))
+    """The rows of docs that stay, in its columns; of rows equal in identifier and text any one.
+
+    Only the digests of texts that occur more than once are joined; where they are few, as checked, no text is shuffled.
+    """
+    found = cut(survivors(docs, text, doc_id).where("copies > 1").select("ink_digest", "ink_id", "twins"))
+    digest, i = F.unhex(F.sha2(F.col(f"`{text}`"), 256)), F.col(f"`{doc_id}`").cast("bigint")
+    rows = docs.select(boxed(docs), digest.alias("ink_d"), i.alias("ink_i"))
+    met = rows.join(small(found), F.col("ink_d") == F.col("ink_digest"), "left").where(F.col("ink_digest").isNull() | F.col("ink_i").eqNullSafe(F.col("ink_id")))
+    one = met.where("ink_digest is null or twins = 1").select("ink_row.*")
+    if found.where("twins > 1").isEmpty():
+        return one
+    several = met.where("twins > 1").groupBy("ink_d").agg(F.first("ink_row").alias("ink_row"))  # partial sums: no list of equal rows
+    return one.unionByName(several.select("ink_row.*"))
 
 
 SQL = """
