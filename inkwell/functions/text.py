@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 
 #: What Python's str.split() and str.strip() take for white space, as a Java character class.
 SPACES = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+#: The same, one after another.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Where Python's str.splitlines() ends a line.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 DESCRIPTION_CHARS = 160
@@ -30,8 +32,14 @@ def query_terms(query: str) -> list[str]:
     return re.findall("[a-z0-9]+", query.lower())
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACES}+|{SPACES}+\z", "")
+    """text without white space at its ends, in time that grows with its length."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def collapse(text: Column) -> Column:
@@ -46,8 +54,7 @@ def newlines(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; after a last line end there is no further line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def blank(text: Column) -> Column:
@@ -59,8 +66,8 @@ def description(body: Column) -> Column:
     """The first paragraph that isn't a heading or an image, on one line and of bounded length; else an empty text."""
     paragraphs = F.transform(F.split(body, "\n\n", -1), collapse)
     prose = F.get(F.filter(paragraphs, lambda p: (p != "") & ~p.startswith("#") & ~p.startswith("![")), F.lit(0))
-    cut = F.concat(F.regexp_replace(F.substring(prose, 1, DESCRIPTION_CHARS - 1), rf"{SPACES}+\z", ""), F.lit("…"))
-    return F.coalesce(F.when(F.char_length(prose) > DESCRIPTION_CHARS, cut).otherwise(prose), F.lit(""))
+    cut = lambda x: F.concat(F.rtrim(F.substring(x, 1, DESCRIPTION_CHARS - 1), F.lit(WHITE)), F.lit("…"))
+    return F.coalesce(let(prose, lambda x: F.when(F.char_length(x) > DESCRIPTION_CHARS, cut(x)).otherwise(x)), F.lit(""))
 
 
 def snippet(body: Column, terms: list[str]) -> Column:
@@ -76,7 +83,10 @@ def recency_day(published: Column) -> Column:
     Calendar dates with and without dashes and week dates with and without
     dashes and day; year 0 and days that don't exist are no dates.
     """
-    text = F.substring(strip(published), 1, 10)
+    return let(F.substring(strip(published), 1, 10), _day)
+
+
+def _day(text: Column) -> Column:
     year, week = F.regexp_extract(text, r"\A(?!0000)([0-9]{4})-?W([0-9]{2})", 1), F.regexp_extract(text, r"\A(?!0000)([0-9]{4})-?W([0-9]{2})", 2)
     day = F.regexp_extract(text, r"\A(?:[0-9]{4}-W[0-9]{2}-([1-7])|[0-9]{4}W[0-9]{2}([1-7]))\z", 0)
     number = F.when(day == "", 1).otherwise(F.substring(day, -1, 1).try_cast("int"))
@@ -117,14 +127,14 @@ def either(text: Column, otherwise: str) -> Column:
     return F.coalesce(blank(text), F.lit(otherwise))
 
 
-def digest8(text: Column) -> Column:
-    return F.substring(F.sha1(text), 1, 8)
+def digest8(text: Column, digits: int = 8) -> Column:
+    return F.substring(F.sha1(text), 1, digits)
 
 
-def source_slug(url: Column, stem: Column) -> Column:
+def source_slug(url: Column, stem: Column, digits: int = 8) -> Column:
     """A source note's name: its URL's digest, and a readable part without a leading number."""
     name = slugify(F.regexp_replace(stem, r"\A[0-9]{3}-", ""))
-    return F.concat_ws("-", digest8(url), either(F.substring(name, 1, 60), "source"))
+    return F.concat_ws("-", digest8(url, digits), either(F.substring(name, 1, 60), "source"))
 
 
 def topic_slug(topic: Column, project: Column) -> Column:

@@ -26,10 +26,17 @@ def _sent_if_small(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder in spark.checkpoint.dir, without its lineage; a folder of our own only where none is set."""
+    """df written to the shared folder in spark.checkpoint.dir, without its lineage.
+
+    Where none is set, a local session gets a folder of its own; on a cluster,
+    whose machines would each have another, that is an error.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -67,25 +74,29 @@ def shaped(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(_TYPES[c]).alias(c) for c in NOTE_COLUMNS])
 
 
-def with_stems(rows: DataFrame, taken: DataFrame) -> DataFrame:
+def with_stems(rows: DataFrame, taken: DataFrame, digits: int = 8) -> DataFrame:
     """rows (url, seq, wanted) with `stem`: the wanted name, but of several URLs with one digest only the first has it.
 
     taken: (url) of notes that exist.  The others are named by the whole digest.
     """
     digests = rows.select("url", F.lit(0).alias("old"), "seq").unionByName(taken.select("url", F.lit(1).alias("old"), F.lit(None).alias("seq")))
-    place = F.row_number().over(Window.partitionBy(T.digest8(F.col("url"))).orderBy(F.desc("old"), "seq", "url"))
+    place = F.row_number().over(Window.partitionBy(T.digest8(F.col("url"), digits)).orderBy(F.desc("old"), "seq", "url"))
     later = digests.withColumn("r", place).where("r > 1 and old = 0").select(F.col("url").alias("clash"))
     joined = rows.join(later, rows["url"] == F.col("clash"), "left")
     return joined.withColumn("stem", F.when(F.col("clash").isNull(), F.col("wanted")).otherwise(F.sha1("url"))).drop("clash", "wanted")
 
 
-def merge_runs(existing: DataFrame, materials: DataFrame, runs: DataFrame, topic_titles: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+def merge_runs(existing: DataFrame, materials: DataFrame, runs: DataFrame, topic_titles: DataFrame, now: str, digits: int = 8) -> tuple[DataFrame, DataFrame]:
     """(source notes, deletions) after some runs' materials are merged and what they cite no longer is taken off.
 
     existing: source notes.  materials: (project, pseq, mseq, stem, meta, body),
-    those that passed the gate.  runs: (project, pseq, topic), in the order in
-    which they are taken.  topic_titles: (project, title) of all topic notes.
-    deletions: (project, pruned).
+    those that passed the gate, each with numbers of its own.  runs: (project,
+    pseq, topic), in the order in which they are taken.  topic_titles: (project,
+    title) of all topic notes.  digits: of a URL's digest in a name.  deletions:
+    (project, pruned).
+
+    Who wins, lists and deletions are worked out without any text, and written
+    to the checkpoint folder; the texts of what is left are joined once, last.
 
     For each URL: the newest title, text and providers, the union of topics and
     runs in the order in which they came, and of each passed-on field the newest
@@ -95,21 +106,24 @@ def merge_runs(existing: DataFrame, materials: DataFrame, runs: DataFrame, topic
     """
     runs = _sent_if_small(runs)
     seq = F.struct("pseq", "mseq")
+    slim = materials.select(
+        "project", "pseq", "mseq", "stem", _value("url").alias("url"), T.collapse(F.coalesce(F.col("meta").getItem("title"), _value("url"))).alias("title"), T.collapse(_value("providers")).alias("providers"),
+        *[_value(f).alias(f) for f in PASSED_ON],
+    )
     cited = (
-        materials.join(runs.select("project", "topic"), "project")
-        .withColumns({"url": _value("url"), "title": T.collapse(F.coalesce(F.col("meta").getItem("title"), _value("url"))), "providers": T.collapse(_value("providers"))})
+        slim.join(runs.select("project", "topic"), "project")
         .groupBy("url")
         .agg(
-            F.max_by(F.struct("title", "providers", T.strip(F.col("body")).alias("body")), seq).alias("new"), F.min_by("stem", seq).alias("wanted"), F.min("pseq").alias("seq"),
-            F.array_sort(F.collect_set(F.struct("pseq", "project", "topic"))).alias("cites"), *[newest(_value(f), seq).alias(f"new_{f}") for f in PASSED_ON],
+            F.max_by(F.struct("title", "providers", "pseq", "mseq"), seq).alias("new"), F.min_by("stem", seq).alias("wanted"), F.min("pseq").alias("seq"),
+            F.array_sort(F.collect_set(F.struct("pseq", "project", "topic"))).alias("cites"), *[newest(F.col(f), seq).alias(f"new_{f}") for f in PASSED_ON],
         )
-        .withColumn("wanted", T.source_slug(F.col("url"), F.col("wanted")))
+        .withColumn("wanted", T.source_slug(F.col("url"), F.col("wanted"), digits))
     )
     members = (
         existing.select("url", F.explode("projects").alias("project")).join(runs.select("project", "pseq"), "project")
         .groupBy(F.col("url").alias("m_url")).agg(F.collect_list(F.struct("pseq", "project")).alias("members"))
     )
-    old = existing.select(*[F.col(c).alias(f"old_{c}") for c in NOTE_COLUMNS]).join(members, F.col("old_url") == F.col("m_url"), "left").drop("m_url")
+    old = existing.select(*[F.col(c).alias(f"old_{c}") for c in NOTE_COLUMNS if c != "body"]).join(members, F.col("old_url") == F.col("m_url"), "left").drop("m_url")
     both = old.join(cited, F.col("old_url") == F.col("url"), "full_outer").withColumn("url", F.coalesce("url", "old_url"))
 
     no_cites = F.array().cast("array<struct<pseq: bigint, project: string, topic: string>>")
@@ -119,7 +133,7 @@ def merge_runs(existing: DataFrame, materials: DataFrame, runs: DataFrame, topic
     both = both.withColumns({"last_off": F.array_max(F.transform("off", lambda m: m["pseq"])), "first_cite": F.get("cites", F.lit(0))["pseq"]})
     dead = (F.size("off") > 0) & (F.size("left") == 0) & (F.col("first_cite").isNull() | (F.col("last_off") < F.col("first_cite")))
     both = both.withColumn("dead", F.coalesce(dead, F.lit(False)))
-    both = both.withColumn("alive", F.col("old_url").isNotNull() & ~F.col("dead"))
+    both = cut(both.withColumn("alive", F.col("old_url").isNotNull() & ~F.col("dead")))
 
     deleted = both.where("dead").select(F.explode("off").alias("m"), "last_off").where("m.pseq = last_off").groupBy(F.col("m.project").alias("project")).agg(F.count(F.lit(1)).alias("pruned"))
     kept = both.where(~F.col("dead") | (F.size("cites") > 0))
@@ -143,44 +157,51 @@ def merge_runs(existing: DataFrame, materials: DataFrame, runs: DataFrame, topic
     came = F.size("cites") > 0
     old_value = lambda c: F.when(F.col("alive"), F.col(f"old_{c}"))
     touched = came | (F.size("off") > 0)
-    named = with_stems(kept.where(came & ~F.col("alive")).select("url", "seq", "wanted"), kept.where("alive").select("url")).select(F.col("url").alias("n_url"), F.col("stem").alias("n_stem"))
+    named = with_stems(kept.where(came & ~F.col("alive")).select("url", "seq", "wanted"), kept.where("alive").select("url"), digits).select(F.col("url").alias("n_url"), F.col("stem").alias("n_stem"))
     kept = kept.join(named, F.col("url") == F.col("n_url"), "left").withColumn("final_stem", F.coalesce(old_value("stem"), "n_stem"))
     new = lambda c: F.when(came, F.col(f"new.{c}")).otherwise(old_value(c))
     result = kept.select(
         F.when(F.col("alive"), F.col("old_path")).otherwise(F.concat(F.lit("notes/sources/"), "final_stem", F.lit(".md"))).alias("path"),
         F.col("final_stem").alias("stem"), F.lit("source").alias("type"), F.col("final_stem").alias("slug"), new("title").alias("title"), "url",
         F.when(touched, topics).otherwise(F.col("old_topics")).alias("topics"), F.when(touched, projects).otherwise(F.col("old_projects")).alias("projects"), old_value("project").alias("project"),
-        new("providers").alias("providers"), F.when(came, T.description(F.col("new.body"))).otherwise(old_value("description")).alias("description"),
-        F.when(touched, F.size(projects)).otherwise(old_value("corroboration")).alias("corroboration"),
+        new("providers").alias("providers"), old_value("description").alias("description"), F.when(touched, F.size(projects)).otherwise(old_value("corroboration")).alias("corroboration"),
         *[F.coalesce(f"new_{f}", old_value(f)).alias(f) for f in PASSED_ON],
-        F.when(came, F.lit(now)).otherwise(old_value("ingested_at")).alias("ingested_at"), new("body").alias("body"),
+        F.when(came, F.lit(now)).otherwise(old_value("ingested_at")).alias("ingested_at"), F.col("new.pseq").alias("at_pseq"), F.col("new.mseq").alias("at_mseq"), came.alias("came"),
     )
-    return shaped(result), deleted
+    at = [F.col("at_pseq") == F.col("b_pseq"), F.col("at_mseq") == F.col("b_mseq")]
+    bodies = materials.select(F.col("pseq").alias("b_pseq"), F.col("mseq").alias("b_mseq"), T.strip(F.col("body")).alias("body"))
+    fresh = bodies.join(result.where("came"), at).withColumn("description", T.description(F.col("body")))
+    return shaped(fresh).unionByName(shaped(_with_old_bodies(result.where(~F.col("came")), existing))), deleted
+
+
+def _with_old_bodies(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    return existing.select(F.col("url").alias("b_url"), "body").join(rows, F.col("b_url") == F.col("url"))
 
 
-def merge_notes(existing: DataFrame, notes: DataFrame, now: str, preserve: bool = False) -> DataFrame:
+def merge_notes(existing: DataFrame, notes: DataFrame, now: str, preserve: bool = False, digits: int = 8) -> DataFrame:
     """Source notes after notes with a URL are merged.
 
     existing: source notes.  notes: (seq, stem, meta, body), those that passed
-    the gate.  Title and text are the newest, topics and runs are unions in the
+    the gate, each with a seq of its own.  As in `merge_runs`, texts are joined
+    once, last.  Title and text are the newest, topics and runs are unions in the
     order in which they came, providers the oldest that aren't empty.  Fields
     that such notes don't carry are dropped, as a run's own notes would lose
     them too; with `preserve` they stay.
     """
     incoming = notes.where(_value("url") != "").select(
-        _value("url").alias("url"), "seq", "stem", T.collapse(F.coalesce(T.blank(_value("title")), _value("url"))).alias("title"), T.strip(F.col("body")).alias("body"), T.collapse(_value("providers")).alias("providers"),
+        _value("url").alias("url"), "seq", "stem", T.collapse(F.coalesce(T.blank(_value("title")), _value("url"))).alias("title"), T.collapse(_value("providers")).alias("providers"),
         T.listed(F.coalesce(T.blank(_value("topics")), T.blank(_value("topic")), F.lit("imported"))).alias("topics"), T.listed(F.coalesce(T.blank(_value("project")), _value("source"))).alias("projects"),
     )
     full = T.blank(F.col("providers"))
     grouped = incoming.groupBy("url").agg(
-        F.max_by(F.struct("title", "body"), "seq").alias("new"), F.min_by("stem", "seq").alias("wanted"), F.min("seq").alias("seq"), first_seen(F.col("topics"), F.col("seq")).alias("new_topics"),
+        F.max_by(F.struct("title", F.col("seq").alias("at")), "seq").alias("new"), F.min_by("stem", "seq").alias("wanted"), F.min("seq").alias("seq"), first_seen(F.col("topics"), F.col("seq")).alias("new_topics"),
         first_seen(F.col("projects"), F.col("seq")).alias("new_projects"), F.min_by(full, F.when(full.isNotNull(), F.col("seq"))).alias("new_providers"),
     )
-    grouped = grouped.withColumn("wanted", T.source_slug(F.col("url"), F.col("wanted")))
-    old = existing.select(*[F.col(c).alias(f"old_{c}") for c in NOTE_COLUMNS])
-    both = old.join(grouped, F.col("old_url") == F.col("url"), "full_outer").withColumn("url", F.coalesce("url", "old_url"))
+    grouped = grouped.withColumn("wanted", T.source_slug(F.col("url"), F.col("wanted"), digits))
+    old = existing.select(*[F.col(c).alias(f"old_{c}") for c in NOTE_COLUMNS if c != "body"])
+    both = cut(old.join(grouped, F.col("old_url") == F.col("url"), "full_outer").withColumn("url", F.coalesce("url", "old_url")))
     came = F.col("new").isNotNull()
-    named = with_stems(both.where(came & F.col("old_url").isNull()).select("url", "seq", "wanted"), existing.select("url")).select(F.col("url").alias("n_url"), F.col("stem").alias("n_stem"))
+    named = with_stems(both.where(came & F.col("old_url").isNull()).select("url", "seq", "wanted"), existing.select("url"), digits).select(F.col("url").alias("n_url"), F.col("stem").alias("n_stem"))
     both = both.join(named, F.col("url") == F.col("n_url"), "left").withColumn("final_stem", F.coalesce("old_stem", "n_stem"))
     union = lambda c: F.array_distinct(F.concat(F.coalesce(f"old_{c}", F.array().cast(_LIST)), F.coalesce(f"new_{c}", F.array().cast(_LIST))))
     stays = ["description", "corroboration", *PASSED_ON]
@@ -189,9 +210,11 @@ def merge_notes(existing: DataFrame, notes: DataFrame, now: str, preserve: bool
         F.when(came, F.col("new.title")).otherwise(F.col("old_title")).alias("title"), "url", union("topics").alias("topics"), union("projects").alias("projects"), F.col("old_project").alias("project"),
         F.when(came, F.coalesce(T.blank(F.col("old_providers")), "new_providers")).otherwise(F.col("old_providers")).alias("providers"),
         *[F.when(came & ~F.lit(preserve), F.lit(None)).otherwise(F.col(f"old_{f}")).alias(f) for f in stays],
-        F.when(came, F.lit(now)).otherwise(F.col("old_ingested_at")).alias("ingested_at"), F.when(came, F.col("new.body")).otherwise(F.col("old_body")).alias("body"),
+        F.when(came, F.lit(now)).otherwise(F.col("old_ingested_at")).alias("ingested_at"), F.col("new.at").alias("at"), came.alias("came"),
     )
-    return shaped(result)
+    bodies = notes.where(_value("url") != "").select(F.col("seq").alias("b_seq"), T.strip(F.col("body")).alias("body"))
+    fresh = bodies.join(result.where("came"), F.col("at") == F.col("b_seq"))
+    return shaped(fresh).unionByName(shaped(_with_old_bodies(result.where(~F.col("came")), existing)))
 
 
 def imported_notes(notes: DataFrame, now: str) -> DataFrame:

@@ -31,25 +31,38 @@ _ALWAYS = {"title", "slug", "type", "url", "topics", "projects", "providers", "p
 FOLDERS = {"topic": "topics", "source": "sources", "report": "reports", "note": "imported"}
 
 
-def front_and_body(text: Column) -> tuple[Column, Column]:
-    """(meta, body) of a text: a map, empty where there is no closed block in front, and what follows the block."""
-    inside = F.locate("\n---\n", text, 4)
-    end = F.when(~text.startswith("---\n"), 0).when(inside > 0, inside).when(text.endswith("\n---"), F.char_length(text) - 3).otherwise(0)
-    block = F.when(end > 4, F.substr(text, F.lit(5), end - 5)).otherwise(F.lit(""))
+def front_and_body(text: Column) -> Column:
+    """A struct of meta and body: a map, empty where there is no closed block in front, and what follows the block.
+
+    The text is gone through once; only the block's lines are taken apart.  Of a key's values the last counts.
+    """
+
+    def taken_apart(text: Column) -> Column:
+        inside = F.locate("\n---\n", text, 4)
+        end = F.when(~text.startswith("---\n"), 0).when(inside > 0, inside).when(text.endswith("\n---"), F.char_length(text) - 3).otherwise(0)
+        return T.let(end, lambda end: F.struct(_meta(F.when(end > 4, F.substr(text, F.lit(5), end - 5)).otherwise(F.lit(""))).alias("meta"), _rest(text, end).alias("body")))
+
+    return T.let(text, taken_apart)
+
+
+def _rest(text: Column, end: Column) -> Column:
+    rest = lambda r: F.when(r.startswith("\n"), F.substr(r, F.lit(2))).otherwise(r)
+    return F.when(end > 0, T.let(F.substr(text, end + 5), rest)).otherwise(text)
+
+
+def _meta(block: Column) -> Column:
     pairs = F.transform(
         F.filter(F.split(block, T.LINE_END, -1), lambda x: x.contains(":")),
-        lambda x: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("k"), T.strip(F.substr(x, F.locate(":", x) + 1)).alias("v")),
+        lambda x, i: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("k"), i.alias("i"), T.strip(F.substr(x, F.locate(":", x) + 1)).alias("v")),
     )
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["k"] == p["k"]))
-    rest = F.substr(text, end + 5)
-    body = F.when(end > 0, F.when(rest.startswith("\n"), F.substr(rest, F.lit(2))).otherwise(rest)).otherwise(text)
-    return F.map_from_entries(last), body
+    # sorted by key and line, so that a key's last line is the one before another key
+    last = lambda ps: F.filter(ps, lambda p, i: F.coalesce(F.get(ps, i + 1)["k"] != p["k"], F.lit(True)))
+    return F.map_from_entries(F.transform(T.let(F.array_sort(pairs), last), lambda p: F.struct(p["k"], p["v"])))
 
 
 def parsed(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with meta and body instead of the text column."""
-    meta, body = front_and_body(T.newlines(F.col(text)))
-    return texts.withColumns({"meta": meta, "body": body}).drop(text)
+    return texts.withColumn("ink_note", front_and_body(T.newlines(F.col(text)))).withColumns({"meta": F.col("ink_note.meta"), "body": F.col("ink_note.body")}).drop(text, "ink_note")
 
 
 def markdown_files(folder: str | Path, recursive: bool = True) -> list[str]:

@@ -106,7 +106,7 @@ def test_gates(spark):
 def test_urls_with_one_digest_get_different_names(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(merge.T, "digest8", lambda c: F.lit("00000000"))
+    monkeypatch.setattr(merge.T, "digest8", lambda c, digits=8: F.lit("00000000"))
     rows = spark.createDataFrame([("a", 0, "w-a"), ("b", 1, "w-b")], "url string, seq bigint, wanted string")
     none = rows.select("url").limit(0)
     got = {r["url"]: r["stem"] for r in merge.with_stems(rows, none).collect()}

@@ -82,3 +82,27 @@ def test_slugs_and_names(spark):
 
 def test_lists(spark):
     assert got(spark, ["a,b , ,c", "", " x "], T.listed) == [["a", "b", "c"], [], ["x"]]
+
+
+def test_a_million_spaces_inside_a_text_take_no_time(spark):
+    """Each gate, and what else strips, over a text that a careless pattern would take hours for."""
+    import time
+
+    from inkwell.operators import merge
+    from inkwell.sources import notes as N
+
+    long = "a" + " " * 1_000_000 + "b"
+    rows = spark.createDataFrame([(1, "x.md", {"url": "u"}, long)], "seq int, name string, meta map<string, string>, body string")
+    text = spark.createDataFrame([("---\nk: " + long + "\n---\n" + long,)], "text string")
+    for df in (
+        merge.gate_materials(rows).select("reason"), merge.gate_notes(rows).select("reason"), rows.select(F.length(T.strip(F.col("body")))), rows.select(T.description(F.col("body"))),
+        rows.select(T.snippet(F.col("body"), ["b"])), rows.select(T.listed(F.col("body"))), N.parsed(text).select(F.length("body"), F.col("meta")["k"]),
+    ):
+        df.collect()  # compiles
+        began = time.perf_counter()
+        df.collect()
+        assert time.perf_counter() - began < 1.5
+
+
+def test_let(spark):
+    assert spark.range(1).select(T.let(F.lit(3), lambda x: x * x).alias("v")).first()["v"] == 9
