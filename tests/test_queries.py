@@ -9,7 +9,9 @@ import duckdb
 import pytest
 from conftest import SMALL
 
-from inkwell.plans import catalog
+from inkwell.plans import catalog, ingested
+
+QUERIES, SQL = catalog.QUERIES | ingested.QUERIES, catalog.SQL | ingested.SQL
 
 
 @pytest.fixture(scope="module")
@@ -27,13 +29,13 @@ def rows(table, columns):
     return sorted(repr([plain(v) for v in r]) for r in ([row[c] for c in columns] for row in table))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     got = [r.asDict() for r in df.collect()]
     assert got
-    if name in catalog.SQL:
-        rel = duck.execute(catalog.SQL[name])
+    if name in SQL:
+        rel = duck.execute(SQL[name])
         columns = [d[0] for d in rel.description]
         assert sorted(columns) == sorted(df.columns)
         want = [dict(zip(columns, r, strict=True)) for r in rel.fetchall()]
@@ -44,4 +46,4 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["path", "title", "score", "url", "snippet", "project", "published", "source_type"]
-    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
