@@ -114,7 +114,7 @@ def merge_runs(existing: DataFrame, materials: DataFrame, runs: DataFrame, topic
         slim.join(runs.select("project", "topic"), "project")
         .groupBy("url")
         .agg(
-            F.max_by(F.struct("title", "providers", "pseq", "mseq"), seq).alias("new"), F.min_by("stem", seq).alias("wanted"), F.min("pseq").alias("seq"),
+            F.max_by(F.struct("title", "providers", "pseq", "mseq"), seq).alias("new"), F.min_by("stem", seq).alias("wanted"), F.min(seq).alias("seq"),
             F.array_sort(F.collect_set(F.struct("pseq", "project", "topic"))).alias("cites"), *[newest(F.col(f), seq).alias(f"new_{f}") for f in PASSED_ON],
         )
         .withColumn("wanted", T.source_slug(F.col("url"), F.col("wanted"), digits))

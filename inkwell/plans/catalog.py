@@ -211,6 +211,71 @@ def prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_runs(first, cited.where("mseq % 3 <> 0"), runs, runs.select("project", F.col("topic").alias("title")), NOW)[1]
 
 
+@query(f"""WITH {_CITED}, f AS (SELECT url, arg_min(CAST(mseq AS VARCHAR), seq) AS own, min(seq) AS seq FROM c GROUP BY url),
+  o AS (SELECT *, row_number() OVER (PARTITION BY substr(sha1(url), 1, 2) ORDER BY seq, url) AS nth FROM f)
+SELECT url, CASE WHEN nth > 1 THEN sha1(url) ELSE substr(sha1(url), 1, 2) || '-' || own END AS stem FROM o""")
+def digest_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names where digests are cut to two digits: of several URLs with one, the first keeps the short name."""
+    cited, runs = _cited(spark, sf_dir)
+    return merge.merge_runs(N.empty(spark), cited, runs, index.run_titles(N.empty(spark)), NOW, digits=2)[0].select("url", "stem")
+
+
+_FIELDS = ["source_type", "content_kind", "published", "final_url", "content_digest"]
+
+
+def _carried(cited: DataFrame) -> DataFrame:
+    """Materials that carry every field that is passed on, each empty for some."""
+    n, m = F.col("mseq"), F.col("meta")
+    made = [F.when(n % 3 != 0, "social").otherwise(""), F.when(n % 4 != 0, m["providers"]).otherwise(""), m["published"], F.when(n % 5 != 0, m["url"]).otherwise(""), F.when(n % 2 == 0, F.md5(m["title"])).otherwise("")]
+    kept = F.map_filter("meta", lambda k, v: ~k.isin(_FIELDS))
+    return cited.withColumn("meta", F.map_concat(kept, F.map_from_arrays(F.array(*map(F.lit, _FIELDS)), F.array(*made))))
+
+
+_CARRIED = f"""{_CITED}, e AS (SELECT url, seq, mseq, published, CASE WHEN mseq % 3 <> 0 THEN 'social' ELSE '' END AS source_type, CASE WHEN mseq % 4 <> 0 THEN providers ELSE '' END AS content_kind,
+    CASE WHEN mseq % 5 <> 0 THEN url ELSE '' END AS final_url, CASE WHEN mseq % 2 = 0 THEN md5(title) ELSE '' END AS content_digest FROM c),
+  x AS (SELECT url, {', '.join(f"arg_max({f}, seq) FILTER (WHERE {f} <> '') AS {f}" for f in _FIELDS)} FROM e GROUP BY url)"""
+
+
+@query(f"WITH {_CARRIED} SELECT url, {', '.join(_FIELDS)} FROM x")
+def passed_on_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest value that isn't empty of each field that notes pass on."""
+    cited, runs = _cited(spark, sf_dir)
+    return merge.merge_runs(N.empty(spark), _carried(cited), runs, index.run_titles(N.empty(spark)), NOW)[0].select("url", *_FIELDS)
+
+
+def _notes_again(spark: SparkSession, sf_dir: str, preserve: bool) -> DataFrame:
+    cited, runs = _cited(spark, sf_dir)
+    first = merge.cut(merge.merge_runs(N.empty(spark), _carried(cited), runs, index.run_titles(N.empty(spark)), NOW)[0])
+    free = _free(_staged(spark, sf_dir)).where("seq % 10 < 3")
+    out = merge.merge_notes(first, free, NOW, preserve)
+    return out.select("url", F.array_join("topics", ", ").alias("topics"), F.array_join("projects", ", ").alias("projects"), "title", "providers", "corroboration", *_FIELDS, F.md5("body").alias("body_md5"))
+
+
+def _again_sql(preserve: bool) -> str:
+    stays = ", ".join(f"{'' if preserve else 'CASE WHEN b.url IS NULL THEN '}x.{f}{'' if preserve else ' END'} AS {f}" for f in _FIELDS)
+    counted = "corroboration" if preserve else "CASE WHEN b.url IS NULL THEN corroboration END AS corroboration"
+    union = lambda a, b: f"array_to_string(list_filter(list_concat(string_split({a}, ', '), coalesce({b}, [])), lambda v, i: list_position(list_concat(string_split({a}, ', '), coalesce({b}, [])), v) = i), ', ')"
+    return f"""WITH {_CARRIED}, {_MERGED}, g AS (SELECT *, CASE WHEN mseq % 5 <> 0 THEN project ELSE '' END AS own, CASE WHEN topic = '' THEN 'imported' ELSE topic END AS about FROM c WHERE mseq % 10 < 3),
+  b AS (SELECT url, arg_max(CASE WHEN title = '' THEN url ELSE title END, mseq) AS title, arg_min(providers, mseq) FILTER (WHERE providers <> '') AS providers, arg_max(body, mseq) AS body FROM g GROUP BY url),
+  bt AS (SELECT url, list(about ORDER BY s) AS l FROM (SELECT url, about, min(mseq) AS s FROM g GROUP BY url, about) GROUP BY url),
+  bp AS (SELECT url, list(own ORDER BY s) AS l FROM (SELECT url, own, min(mseq) AS s FROM g WHERE own <> '' GROUP BY url, own) GROUP BY url)
+SELECT a.url, {union('topics', 'bt.l')} AS topics, {union('projects', 'bp.l')} AS projects, {_COLLAPSED.format('coalesce(b.title, a.title)')} AS title,
+  coalesce(nullif({_COLLAPSED.format('a.providers')}, ''), {_COLLAPSED.format('b.providers')}, '') AS providers, {counted}, {stays}, md5({_STRIPPED.format('coalesce(b.body, a.body)')}) AS body_md5
+FROM a JOIN ps USING (url) JOIN ts USING (url) JOIN x USING (url) LEFT JOIN b ON b.url = a.url LEFT JOIN bt ON bt.url = a.url LEFT JOIN bp ON bp.url = a.url"""
+
+
+@query(_again_sql(False))
+def notes_into_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free notes merged into notes of runs: the providers that were there win, and fields that free notes don't carry are dropped."""
+    return _notes_again(spark, sf_dir, False)
+
+
+@query(_again_sql(True))
+def notes_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the runs' fields kept."""
+    return _notes_again(spark, sf_dir, True)
+
+
 def _free(staged: DataFrame) -> DataFrame:
     more = F.map_from_arrays(F.array(F.lit("topic"), F.lit("project")), F.array(F.col("topic"), F.when(F.col("mseq") % 5 != 0, F.col("project")).otherwise("")))
     passed = merge.gate_notes(staged).where("reason is null")
@@ -289,7 +354,11 @@ def frontmatter_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null")
+    return _reports_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _reports_of(turns: DataFrame) -> DataFrame:
+    turns = turns.where("conv_id is not null")
     part = F.struct("turn", F.concat(F.lit("## "), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("ts"))
     return whole.select(F.col("conv_id").cast("string").alias("project"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("text"))
@@ -308,12 +377,33 @@ def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sections(_reports(spark, sf_dir))
 
 
-@query()
+_SECTION_SLUGS = f"""bs AS (SELECT project, section, heading, body, row_number() OVER (PARTITION BY project ORDER BY section) AS nth,
+    coalesce(nullif(substr({_SLUG.format('project')}, 1, 40), ''), 'run') || '-' || substr(sha1(project), 1, 8) || '--' || coalesce(nullif(substr({_SLUG.format('heading')}, 1, 48), ''), 'section') AS base FROM k),
+  taken AS (SELECT project, 0::BIGINT AS n, []::VARCHAR[] AS names FROM bs GROUP BY project
+    UNION ALL SELECT bs.project, n + 1, list_append(names, list_filter(list_transform(range(1, len(names) + 2), lambda i: CASE WHEN i = 1 THEN base ELSE base || '-' || i END), lambda t: NOT list_contains(names, t))[1]) FROM taken JOIN bs ON bs.project = taken.project AND bs.nth = n + 1),
+  g2 AS (SELECT bs.project, section, heading, body, names[n] AS slug FROM bs JOIN taken ON bs.project = taken.project AND bs.nth = n)"""
+
+
+@query(f"WITH RECURSIVE {_LINES}, {_SECTION_SLUGS} SELECT project, section, slug FROM g2")
 def report_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names depend on all names before them; tests hold them against a loop."""
+    """Names of sections, each depending on those before it."""
     return reports.section_slugs(reports.sections(_reports(spark, sf_dir))).select("project", "section", "slug")
 
 
+_HALF = _LINES.replace("FROM conversations WHERE conv_id IS NOT NULL", "FROM conversations WHERE conv_id IS NOT NULL AND (conv_id % 2 = 1 OR turn % 2 = 0)")
+
+
+@query(f"""WITH RECURSIVE {_HALF}, {_SECTION_SLUGS} SELECT 'notes/reports/' || slug || '.md' AS path, {_COLLAPSED.format("heading || ' (' || project || ')'")} AS title, project, md5(body) AS body_md5 FROM g2""")
+def replaced_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second report comes again with half of its sections: its notes are replaced as a set, other reports' stay."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    first = merge.cut(reports.report_notes(_reports(spark, sf_dir).withColumn("topic", F.col("project")), NOW))
+    again = _reports_of(turns.where("conv_id % 2 = 0 and turn % 2 = 0")).withColumn("topic", F.col("project"))
+    empty = turns.where("conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("project")).distinct()
+    out = reports.replace_reports(first, empty.join(again.select("project", "topic", "text"), "project", "left"), reports.report_notes(again, NOW))
+    return out.select("path", "title", "project", F.md5("body").alias("body_md5"))
+
+
 # -- manifests
 
 
@@ -361,6 +451,23 @@ def run_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(rows, "project", "left").select("project", F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls")).alias("source_count"), F.md5(F.coalesce(text, F.lit(""))).alias("links_md5"))
 
 
+_TOPICS = """ls2 AS (SELECT c.project, string_agg('- [[' || c.url || ']] — ' || own.title, chr(10) ORDER BY mseq) AS t, CAST(count(*) AS INTEGER) AS n FROM c JOIN own USING (project, url) GROUP BY c.project)"""
+
+
+@query(f"""WITH {_CITED}, own AS (SELECT project, url, {_COLLAPSED.format('arg_max(title, mseq)')} AS title FROM c GROUP BY project, url), {_TOPICS}
+SELECT 'notes/topics/' || coalesce(nullif(substr({_SLUG.format('run_topic')}, 1, 40), ''), 'topic') || '--' || coalesce(nullif(substr({_SLUG.format('r.project')}, 1, 32), ''), 'run') || '-' || substr(sha1(run_topic || chr(0) || r.project), 1, 8) || '.md' AS path,
+  {_COLLAPSED.format('run_topic')} AS title, r.project, CASE WHEN pseq % 2 = 0 THEN coalesce(n, 0) ELSE 0 END AS source_count,
+  md5('What is known of ' || run_topic || '.' || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || CASE WHEN pseq % 2 = 0 THEN coalesce(t, '*(none downloaded)*') ELSE '*(none downloaded)*' END) AS body_md5 FROM r LEFT JOIN ls2 ON ls2.project = r.project""")
+def upserted_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic note for each run, first without sources; those of every second run are replaced when they come with them."""
+    cited, runs = _cited(spark, sf_dir)
+    sources = cited.select(F.col("meta")["url"].alias("url")).distinct().withColumn("stem", F.col("url"))
+    links = index.links(cited, sources)
+    first = index.topic_notes(runs, links.limit(0), NOW)
+    out = merge.replaced(first, index.topic_notes(runs.where("pseq % 2 = 0"), links, NOW))
+    return out.select("path", "title", "project", "source_count", F.md5("body").alias("body_md5"))
+
+
 @query(f"WITH {_NOTES} SELECT path, rpad(type, 7, ' ') || ' ' || CASE WHEN length(stem) < 40 THEN rpad(stem, 40, ' ') ELSE stem END || ' ' || substr(title, 1, 60) AS line FROM n")
 def list_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.listing(notes(spark, sf_dir))
