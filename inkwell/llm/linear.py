@@ -51,8 +51,8 @@ def summed(rows: DataFrame, state: Any, work: Callable[[Iterator[pa.RecordBatch]
     return numbers, vector
 
 
-def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int, memory: int = 8, tolerance: float = 1e-4) -> np.ndarray:
-    """L-BFGS with backtracking; it ends when a step lowers the loss by less than a share `tolerance`."""
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int, memory: int = 8, tolerance: float = 1e-4, enough: float = 0.0) -> np.ndarray:
+    """L-BFGS with backtracking; it ends when a step lowers the loss by less than a share `tolerance`, or by less than `enough`."""
     f, g = loss(w)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
@@ -78,7 +78,7 @@ def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarr
         s, y = new - w, g2 - g
         if s @ y > 1e-10:
             kept = [*kept[-memory + 1 :], (s, y)]
-        done = f - f2 < tolerance * max(1.0, abs(f))
+        done = f - f2 < max(enough, tolerance * max(1.0, abs(f)))
         w, f, g = new, f2, g2
         if done:
             break
