@@ -171,6 +171,22 @@ def encoder_of(name: int, ranks: dict[bytes, int]) -> Encoder:
     return _encoders[name]
 
 
+def _matching(rank: np.ndarray, touches: np.ndarray) -> np.ndarray:
+    """Which of some neighbouring stretches are taken: those that rank higher than all that they touch, then such ones of what these leave."""
+    wins, left = np.zeros(len(rank), bool), rank.copy()
+    for _ in range(4):
+        best = left >= 0
+        best[1:] &= ~touches | (left[1:] > left[:-1])
+        best[:-1] &= ~touches | (left[:-1] > left[1:])
+        if not best.any():
+            break
+        wins |= best
+        left[best] = -1
+        left[1:][touches & best[:-1]] = -1
+        left[:-1][touches & best[1:]] = -1
+    return wins
+
+
 def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, sequence, documents' begins in it): symbols count the terminals first, then the rules."""
     min_count = max(2, min_count)  # a pair that occurs once can't be shortened
@@ -179,21 +195,19 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_cou
     dense[terminals] = np.arange(len(terminals), dtype=np.int32)
     dense = dense[ids]
     n_docs, symbols = len(at) - 1, len(terminals)
-    seq = np.full(len(ids) + n_docs, -1, np.int32)  # every document ends with a -1
+    seq = np.empty(len(ids) + n_docs, np.int32)
+    seq[at[1:] + np.arange(n_docs)] = -1 - np.arange(n_docs)  # every document ends with a negative of its own: no pair with one occurs twice
     seq[np.arange(len(ids)) + np.repeat(np.arange(n_docs), np.diff(at))] = dense
     rules: list[np.ndarray] = []
     table, shift = 1 << TABLE_BITS, np.uint32(32 - TABLE_BITS)
-    number = np.zeros(table + 1, np.int32)
+    number = np.zeros(table, np.int32)
     exact = False
     for k in itertools.count() if rounds is None else range(rounds):
         k %= 1 << 16
-        left, right, stops = seq[:-1], seq[1:], np.flatnonzero(seq < 0)
+        left, right = seq[:-1], seq[1:]
         slot = (((left.view(np.uint32) * np.uint32(0x9E3779B1 + 2 * k) + right.view(np.uint32)) * np.uint32(0x85EBCA6B + 2 * k)) >> shift).astype(np.int64)
-        slot[stops[:-1]] = table
-        slot[stops[stops > 0] - 1] = table
         # slots count all their pairs; only the places of those that count enough are looked at
-        upto = np.bincount(slot, minlength=table + 1)
-        upto[table] = 0
+        upto = np.bincount(slot, minlength=table)
         most = int(upto.max(initial=0))
         if most < min_count:
             break
@@ -202,6 +216,7 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_cou
         number[some] = np.arange(len(some), dtype=np.int32)
         places = np.flatnonzero(enough[slot])
         if exact:  # every pair of its own
+            places = places[(left[places] >= 0) & (right[places] >= 0)]
             some, first, slot = np.unique(left[places].astype(np.int64) << 32 | right[places], return_index=True, return_inverse=True)
             held = places[first]
         else:
@@ -232,9 +247,7 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_cou
         stretch = np.cumsum(begins) - 1
         first = np.flatnonzero(begins)
         r, touches = rank[first], near[first[1:] - 1]
-        wins = np.ones(len(first), bool)
-        wins[1:] &= ~touches | (r[1:] > r[:-1])
-        wins[:-1] &= ~touches | (r[:-1] > r[1:])
+        wins = _matching(r, touches)
         take = wins[stretch] & ((np.arange(len(places)) - first[stretch]) & 1 == 0)
         places, slot = places[take], (rank[take] & 0xFFFFFFFF)
         taken = np.bincount(slot, minlength=len(some))

@@ -107,6 +107,18 @@ def test_grammars_are_about_as_small_as_the_sequential_algorithm_s(seed):
     assert len(seq) + 2 * len(rules) <= 1.05 * sequential(ids.tolist(), at.tolist())
 
 
+def test_many_short_documents_stay_apart():
+    """Ends of documents are next to many ids, also in the rounds that count exactly."""
+    rng = np.random.default_rng(11)
+    ids = rng.integers(0, 9, 3000).astype(np.int32)
+    at = np.unique(np.concatenate([[0, 3000], rng.integers(0, 3000, 1500)]))
+    terminals, rules, seq, begins = G.compress(ids, at)
+    assert (G.expand(seq, terminals, rules) == ids).all()
+    lengths = G.expansion_lengths(len(terminals), rules)
+    assert [int(lengths[seq[a:b]].sum()) for a, b in zip(begins, begins[1:], strict=False)] == np.diff(at).tolist()
+    assert max(nonoverlapping(seq.tolist(), begins.tolist()).values()) < 2
+
+
 @pytest.mark.parametrize("ids", [[7] * n for n in (1, 2, 3, 4, 5, 8, 9, 31)] + [[1, 1, 1, 2, 2, 2, 1, 1, 2], [1, 2] * 9 + [1]])
 def test_runs_of_one_id_come_to_an_end(ids):
     ids = np.array(ids, np.int32)
