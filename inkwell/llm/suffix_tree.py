@@ -9,15 +9,20 @@ A context is retained as a state of the tree if it occurs `min_count` times and
 its next-symbol distribution diverges from that of the context one symbol
 shorter: count * KL divergence >= `divergence` nats.  With a state all its
 suffixes are states; contexts of no or one symbol always are.  The tree is
-built in parallel, a subtree for each two last symbols.  A state's distribution
+built in parallel, a subtree for each two last symbols, in as many groups of
+subtrees as the number of counted contexts asks for.  A state's distribution
 is smoothed: each of the 256 symbols gets `gamma`, and the counts share what is
 left.  A symbol is scored by the longest suffix of its past that is a state.
 
-The states are sent to all executors only if they are at most `broadcast_rows`;
-else each document's distinct contexts are joined to their probabilities by a
-shuffle, with the same scores.
+The states are sent to all executors only if they are at most `broadcast_rows`.
+Else documents are put into batches of some megabytes, each batch's distinct
+contexts are joined to their probabilities, and the batch is scored with these:
+a context that every document has is joined once for a batch, not for a
+document.  Both ways look probabilities up in float64; scores only differ by the
+order in which they are added.
 
-Cases: an empty text has one symbol, its end; a null text has null scores and 0
+Cases: an empty text has one symbol, its end; a very long text is counted and
+scored whole, in memory that grows with that one text; a null text has null scores and 0
 symbols, and isn't counted; null identifiers are passed on; repeated rows are
 counted and scored each; a text may contain any character; an empty table gives
 an empty result; other columns aren't looked at.
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +47,10 @@ DIVERGENCE = 12.0
 GAMMA = 1e-4
 BROADCAST_ROWS = 6_000_000
 BEGIN, END = 0xFF, 0xFE  # bytes that UTF-8 never has
-SUBTREES = 128
+#: Groups of subtrees at least, and counts that a group has at most, about, until each subtree is a group.
+SUBTREES, GROUP = 128, 500_000
+#: Bytes of a batch of documents.
+BATCH = 4 << 20
 #: Counts that a task holds before it passes them on.
 HELD = 4_000_000
 
@@ -175,6 +184,7 @@ class Tree:
 
 
 def _subtrees(counts: DataFrame, pairs: np.ndarray, depth: int, min_count: int, divergence: float, gamma: float, states: bool) -> DataFrame:
+    groups = min(1 << 16, max(SUBTREES, counts.count() // GROUP))
     sent = counts.sparkSession.sparkContext.broadcast(pairs)  # 65,536 numbers
 
     def run(table: pa.Table) -> pa.Table:
@@ -182,10 +192,51 @@ def _subtrees(counts: DataFrame, pairs: np.ndarray, depth: int, min_count: int,
         k, key, logp = grow(g, n, sent.value, depth, min_count, divergence, gamma, states)
         return pa.table({"k": k, "g": key.view(np.int64), "logp": logp})
 
-    subtree = F.pmod(F.xxhash64(F.expr("shiftright(g, 8) & 65535")), F.lit(SUBTREES))
+    subtree = F.pmod(F.xxhash64(F.expr("shiftright(g, 8) & 65535")), F.lit(groups))
     return counts.withColumn("subtree", subtree).groupBy("subtree").applyInArrow(run, "k int, g bigint, logp double")
 
 
+def _by_batches(rows: DataFrame, known: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, symbols, log_prob) of rows (i, t), each batch with the probabilities of the contexts that it has."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, size = TaskContext.get().partitionId() << 40, 0
+        for b in batches:
+            length = pc.binary_length(b.column(1).cast(pa.large_binary())).to_numpy()
+            which = np.empty(len(length), np.int64)
+            for k, n in enumerate(length.tolist()):
+                if size and size + n > BATCH:
+                    of, size = of + 1, 0
+                which[k], size = of, size + n + 1
+            yield pa.record_batch([pa.array(which), b.column(0), b.column(1)], names=["b", "i", "t"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            for lo, hi in zip(edges, np.append(edges[1:], len(which)), strict=True):
+                for _, _, data, at in text_slices(b.column(2).slice(lo, hi - lo), BATCH):
+                    keys = distinct(grams(data, at, depth)[0])[0]
+                    yield pa.record_batch([np.full(len(keys), which[lo]), keys.view(np.int64)], names=["b", "g"])
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        g = right.column("g").to_numpy().view(np.uint64)
+        order = np.argsort(g)
+        g, logp = g[order], right.column("logp").to_numpy()[order]
+        symbols, total = [], []
+        for chunk in left.column("t").chunks:
+            for _, _, data, at in text_slices(chunk, 2 << 20):
+                own, g_at = grams(data, at, depth)
+                symbols.append(np.diff(g_at))
+                total.append(np.add.reduceat(logp[np.searchsorted(g, own)], g_at[:-1]))
+        return pa.table({"doc_id": left.column("i"), "symbols": np.concatenate(symbols), "log_prob": np.concatenate(total)})
+
+    # written once: batches must stay as they are when a task is repeated
+    texts = cut(rows.mapInArrow(number, "b bigint, i bigint, t string"))
+    needed = texts.mapInArrow(contexts, "b bigint, g bigint").join(known, "g").select(F.col("b").alias("c"), "g", "logp")
+    return texts.groupBy("b").cogroup(needed.groupBy("c")).applyInArrow(meet, "doc_id bigint, symbols bigint, log_prob double")
+
+
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, gamma: float = GAMMA, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, symbols, log_prob, bits_per_symbol) of every document.  depth: 2 to 7."""
     spark = docs.sparkSession
@@ -220,19 +271,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: in
         out = rows.mapInArrow(run, "doc_id bigint, symbols bigint, log_prob double")
     else:
         known = _subtrees(counts, pairs, depth, min_count, divergence, gamma, False).select("g", "logp")
-
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = TaskContext.get().partitionId() << 40
-            for b in batches:
-                for lo, hi, data, at in text_slices(b.column(1)):
-                    g, g_at = grams(data, at, depth)
-                    for k in range(hi - lo):
-                        keys, n = distinct(g[g_at[k] : g_at[k + 1]])
-                        yield pa.record_batch([np.full(len(keys), r), b.column(0)[lo + k : lo + k + 1].take(pa.array(np.zeros(len(keys), int))), keys.view(np.int64), n], names=["r", "i", "g", "n"])
-                        r += 1
-
-        each = rows.mapInArrow(explode, "r bigint, i bigint, g bigint, n bigint").join(known, "g")
-        out = each.groupBy("r").agg(F.first("i").alias("doc_id"), F.sum("n").alias("symbols"), F.sum(F.col("n") * F.col("logp")).alias("log_prob")).drop("r")
+        out = _by_batches(rows, known, depth)
     out = out.withColumn("bits_per_symbol", -F.col("log_prob") / F.col("symbols") / float(np.log(2)))
     silent = docs.where(F.col(f"`{text}`").isNull()).select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("symbols"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("bits_per_symbol"))
     return out.unionByName(silent)

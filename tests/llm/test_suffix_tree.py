@@ -48,9 +48,9 @@ def test_scores_are_those_of_the_tree(spark, broadcast_rows, depth):
     assert len(got) == len(TEXTS)
     for k, (n, total) in enumerate(want):
         assert got[k]["symbols"] == n
-        assert got[k]["log_prob"] == (None if total is None else pytest.approx(total, rel=1e-5))
+        assert got[k]["log_prob"] == (None if total is None else pytest.approx(total, rel=1e-9))
         if total is not None:
-            assert got[k]["bits_per_symbol"] == pytest.approx(-total / n / math.log(2), rel=1e-5)
+            assert got[k]["bits_per_symbol"] == pytest.approx(-total / n / math.log(2), rel=1e-9)
 
 
 def test_rows_without_text_identifier_or_at_all(spark):
@@ -83,6 +83,15 @@ def test_what_is_like_the_corpus_scores_better(spark):
     assert max(got[k] for k, _ in plain) < 1 < got[1000]
 
 
+def test_many_batches_and_groups_change_no_score(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").repartition(2)
+    want = {r["doc_id"]: r["log_prob"] for r in S.score(df, min_count=3, divergence=2.0).collect()}
+    monkeypatch.setattr(S, "BATCH", 20)
+    monkeypatch.setattr(S, "GROUP", 1)
+    got = {r["doc_id"]: r["log_prob"] for r in S.score(df, min_count=3, divergence=2.0, broadcast_rows=0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (None if want[k] is None else pytest.approx(want[k], rel=1e-12)) for k in got)
+
+
 def test_the_switch_by_size_changes_no_score(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
     a, b = ({r["doc_id"]: r["log_prob"] for r in S.score(df, min_count=3, divergence=2.0, broadcast_rows=n).collect()} for n in (10**6, 0))
