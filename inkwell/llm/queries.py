@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+    out = suffix_tree.score(_table(spark, sf_dir, "documents"))
+    return out.withColumns({"log_prob": F.round("log_prob", 4), "bits_per_symbol": F.round("bits_per_symbol", 6)})
 
 
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op4_pareto_mixing": mixing.SQL, "op5_chat_rendering": chat_templates.SQL, "op7_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op1_suffix_tree_scores": suffix_tree.SQL, "op4_pareto_mixing": mixing.SQL, "op5_chat_rendering": chat_templates.SQL, "op7_exact_dedup": exact_dedup.SQL}

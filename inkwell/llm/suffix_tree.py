@@ -275,3 +275,32 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: in
     out = out.withColumn("bits_per_symbol", -F.col("log_prob") / F.col("symbols") / float(np.log(2)))
     silent = docs.where(F.col(f"`{text}`").isNull()).select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("symbols"), F.lit(None).cast("double").alias("log_prob"), F.lit(None).cast("double").alias("bits_per_symbol"))
     return out.unionByName(silent)
+
+
+def _sql() -> str:
+    """The tree and the scores in DuckDB: contexts and symbols are hexadecimal digits, two for each byte."""
+    d = DEPTH
+    lags = " || ".join([f"lag(b, {k}, '{BEGIN:X}') OVER w" for k in range(d, 0, -1)] + ["b"])
+    parts = [
+        "docs AS MATERIALIZED (SELECT doc_id, text, row_number() OVER () AS rid FROM documents WHERE text IS NOT NULL)",
+        f"bytes AS (SELECT rid, unnest(l) AS b, generate_subscripts(l, 1) AS pos FROM (SELECT rid, regexp_extract_all(hex(encode(text)) || '{END:X}', '..') AS l FROM docs))",
+        f"g AS (SELECT rid, {lags} AS g FROM bytes WINDOW w AS (PARTITION BY rid ORDER BY pos))",
+        f"c{d} AS (SELECT g, count(*) AS n FROM g GROUP BY g)",
+        *[f"c{k} AS (SELECT substr(g, 3) AS g, sum(n) AS n FROM c{k + 1} GROUP BY ALL)" for k in range(d - 1, 0, -1)],
+        *[f"x{k} AS (SELECT g, n::DOUBLE / sum(n) OVER (PARTITION BY left(g, {2 * k})) AS p, sum(n) OVER (PARTITION BY left(g, {2 * k})) AS total FROM c{k})" for k in range(1, d + 1)],
+        *[f"t{k} AS (SELECT left(a.g, {2 * k}) AS c, any_value(a.total) AS total, sum(a.p * ln(a.p / b.p)) AS kl FROM x{k} a JOIN x{k - 1} b ON substr(a.g, 3) = b.g GROUP BY ALL)" for k in range(2, d + 1)],
+    ]
+    for k in range(d, 1, -1):
+        more = f" OR c IN (SELECT substr(c, 3) FROM s{k + 1})" if k < d else ""
+        parts.append(f"s{k} AS (SELECT c FROM t{k} WHERE total >= {MIN_COUNT} AND total * kl >= {DIVERGENCE}{more})")
+    joins = " ".join(f"JOIN x{k} ON substr(c{d}.g, {2 * (d - k) + 1}) = x{k}.g" + (f" LEFT JOIN s{k} ON substr(left(c{d}.g, {2 * d}), {2 * (d - k) + 1}) = s{k}.c" if k > 1 else "") for k in range(1, d + 1))
+    chosen = " ".join(f"WHEN s{k}.c IS NOT NULL THEN x{k}.p" for k in range(d, 1, -1))
+    parts.append(f"lp AS (SELECT c{d}.g, ln({1 - 256 * GAMMA}::DOUBLE * CASE {chosen} ELSE x1.p END + {GAMMA}::DOUBLE) AS logp FROM c{d} {joins})")
+    parts.append("each AS (SELECT rid, count(*) AS symbols, sum(logp) AS log_prob FROM g JOIN lp USING (g) GROUP BY rid)")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, symbols, round(log_prob, 4) AS log_prob, round(-log_prob / symbols / ln(2), 6) AS bits_per_symbol FROM each JOIN docs USING (rid)
+UNION ALL SELECT doc_id, 0, NULL, NULL FROM documents WHERE text IS NULL"""
+
+
+#: For scores rounded to 4 and 6 digits, as sums of floating numbers depend on their order.
+SQL = _sql()
