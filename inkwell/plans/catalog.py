@@ -338,7 +338,7 @@ def recency_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, url, md5(html) AS body_md5 FROM pages")
 def frontmatter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages put behind a block of metadata and taken apart again."""
-    texts = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("---\nkind: old\nurl: "), "url", F.lit("\nno pair\nkind:page\n---\n\n"), T.newlines(F.col("html"))).alias("text"))
+    texts = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("---\nkind: old\nurl: "), "url", F.lit("\nno pair\nkind:page\n---\n"), T.newlines(F.col("html"))).alias("text"))
     return N.parsed(texts).where("meta['kind'] = 'page'").select("page_id", F.col("meta")["url"].alias("url"), F.md5("body").alias("body_md5"))
 
 

@@ -46,8 +46,7 @@ def front_and_body(text: Column) -> Column:
 
 
 def _rest(text: Column, end: Column) -> Column:
-    rest = lambda r: F.when(r.startswith("\n"), F.substr(r, F.lit(2))).otherwise(r)
-    return F.when(end > 0, T.let(F.substr(text, end + 5), rest)).otherwise(text)
+    return F.when(end > 0, F.substr(text, end + 5)).otherwise(text)
 
 
 def _meta(block: Column) -> Column:
@@ -80,14 +79,18 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     Executors read the files, so their texts don't pass through the driver; a
     file that isn't UTF-8 makes the job fail.
     """
-    rows = spark.createDataFrame(list(enumerate(paths)), "seq bigint, path string")
-    parts = max(1, min(len(paths) // 64, 4096))
+    return texts_of(spark.createDataFrame(list(enumerate(paths)), "seq bigint, path string"), max(1, min(len(paths) // 64, 4096)))
+
+
+def texts_of(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows with the text of the file that each one's path names."""
 
     def load(batches):
         for b in batches:
             yield b.assign(text=[Path(p).read_bytes().decode("utf-8") for p in b["path"]])
 
-    return rows.repartitionByRange(parts, "seq").mapInPandas(load, "seq bigint, path string, text string")
+    spread = rows.repartition(parts, "path") if parts else rows.repartition("path")
+    return spread.mapInPandas(load, rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", text string")
 
 
 def scan_texts(spark: SparkSession, folder: str) -> DataFrame:

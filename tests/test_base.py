@@ -125,7 +125,7 @@ def test_notes_and_the_command_line(spark, tmp_path, capsys):
 def test_pointers_are_replaced_not_repeated(tmp_path, capsys):
     target = tmp_path / "AGENTS.md"
     target.write_text("# Mine\n")
-    for brain, said in (("a\\1", "appended to"), ("a\\1", "already current in"), ("b", "updated in")):
+    for brain, said in (("a\\1", "added to"), ("a\\1", "unchanged in"), ("b", "renewed in")):
         assert cli.main(["--brain", brain, "pointer", "--write", str(target)]) == 0
         assert said in capsys.readouterr().out and f"`{brain}`" in target.read_text()
     assert target.read_text().count(cli.BEGIN) == 1 and target.read_text().startswith("# Mine\n")
@@ -142,7 +142,7 @@ def test_a_folder_with_markdown_alone_is_read(base, tmp_path):
     at = base.folder / "notes/sources"
     at.mkdir(parents=True)
     (at / "s.md").write_text("---\ntitle: Old tide\ntype: source\nurl: https://o.test\ntopics: t\nprojects: p\n---\n\ntext\n")
-    assert [h["title"] for h in base.search("tide")] == ["Old tide"]
+    assert [h.title for h in base.search("tide")] == ["Old tide"]
     (tmp_path / "n.md").write_text(material("New tide", "https://o.test", topic="u"))
     assert base.ingest_notes(tmp_path / "n.md") == (1, [])
     assert "title: New tide" in (text := (at / "s.md").read_text()) and "topics: t, u" in text

@@ -25,7 +25,7 @@ def parse(text):
         if ":" in line:
             k, v = line.split(":", 1)
             meta[k.strip()] = v.strip()
-    return meta, body[1:] if body.startswith("\n") else body
+    return meta, body
 
 
 CASES = ["no front", "", "---\n---\n", "---\n---\nbody", "---\ntitle: A: b\nno pair\ntitle:last\n---\n\nbody\n", "---\na: 1\n---", "---\na: 1\n----\nx", "---\r\na: 1\r\n---\r\n\r\nb", "---\n: x\n---\n\n\nc", "--- \na: 1\n---\n", "---\na: \x1cq\x1fz\n---\nbody\n---\nmore"]
@@ -47,7 +47,7 @@ def test_files_are_read_in_the_order_of_their_components(spark, tmp_path):
     paths = N.markdown_files(tmp_path)
     assert [p[len(str(tmp_path)) + 1 :] for p in paths] == ["a/.dot.md", "a/_hidden.md", "a/x.md", "a-b/x.md", "b/c d+é.md"]
     rows = N.read_notes(spark, tmp_path).orderBy(T.path_key(F.col("path"))).collect()
-    assert [r["title"] for r in rows] == ["T"] * 5 and rows[0]["body"] == "text\n"
+    assert [r["title"] for r in rows] == ["T"] * 5 and rows[0]["body"] == "\ntext\n"
     assert {r["path"].rpartition("/")[2] for r in N.scan_texts(spark, str(tmp_path)).collect()} == {"x.md", "c d+é.md"}
     assert N.read_notes(spark, tmp_path / "none").count() == 0
 
@@ -59,4 +59,4 @@ def test_what_is_rendered_is_read_back(spark, tmp_path):
     assert text == "---\ntitle: two lines\nslug: s\ntype: source\nurl: u\ntopics: a, b\nprojects: p\nproviders: \ncorroboration: 1\ningested_at: now\n---\n\ntext\n"
     (tmp_path / "s.md").write_text(text)
     back = N.read_notes(spark, tmp_path).first()
-    assert (back["title"], back["topics"], back["corroboration"], back["body"]) == ("two lines", ["a", "b"], 1, "text\n")
+    assert (back["title"], back["topics"], back["corroboration"], back["body"]) == ("two lines", ["a", "b"], 1, "\ntext\n")
