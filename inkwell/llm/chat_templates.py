@@ -15,7 +15,8 @@ index, index0, first, last and length.
 
 It is a sandbox: names are the given values and what the template sets, a.b and
 a[b] read entries of dicts and lists only, never attributes, and there are no
-calls but the filters and raise_exception(message).  What is missing is
+calls but the filters and raise_exception(message).  A text or list that would
+have more than MOST characters or entries is an error.  What is missing is
 undefined: it renders as nothing and is false.
 """
 
@@ -56,6 +57,8 @@ class Undefined:
 
 
 UNDEFINED = Undefined()
+#: Characters of a text, or entries of a list, that a template may put together; beyond that it is an error, never cut.
+MOST = 1 << 27
 Node = tuple  # (kind, ...)
 _TAG = re.compile(r"\{%-?|\{\{-?|\{#")
 _TOKEN = re.compile(
@@ -86,15 +89,36 @@ def _ends(v: Any, k: int) -> Any:
 FILTERS: dict[str, Callable[..., Any]] = {
     "trim": lambda v: text_of(v).strip(), "upper": lambda v: text_of(v).upper(), "lower": lambda v: text_of(v).lower(),
     "length": lambda v: len(v), "first": lambda v: _ends(v, 0), "last": lambda v: _ends(v, -1),
-    "default": lambda v, d="": d if v is UNDEFINED else v, "join": lambda v, by="": by.join(text_of(x) for x in v),
-    "replace": lambda v, a, b: text_of(v).replace(a, b), "string": text_of, "int": lambda v: int(v),
+    "default": lambda v, d="": d if v is UNDEFINED else v, "join": lambda v, by="": _joined(v, by),
+    "replace": lambda v, a, b: _replaced(text_of(v), a, b), "string": text_of, "int": lambda v: int(v),
     "capitalize": lambda v: text_of(v).capitalize(), "title": lambda v: text_of(v).title(), "list": lambda v: list(v), "reverse": lambda v: v[::-1],
 }
 TESTS: dict[str, Callable[[Any], bool]] = {
     "defined": lambda v: v is not UNDEFINED, "undefined": lambda v: v is UNDEFINED, "none": lambda v: v is None, "string": lambda v: isinstance(v, str),
     "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool), "even": lambda v: v % 2 == 0, "odd": lambda v: v % 2 == 1,
 }
-_MOST = 1 << 24
+
+
+def _bounded(size: int) -> None:
+    if size > MOST:
+        raise TemplateError(f"a value of more than {MOST} characters or entries")
+
+
+def _added(a: Any, b: Any) -> Any:
+    if isinstance(a, str | list) and isinstance(b, str | list):
+        _bounded(len(a) + len(b))
+    return a + b
+
+
+def _joined(v: Any, by: str) -> str:
+    texts = [text_of(x) for x in v]
+    _bounded(sum(map(len, texts)) + len(by) * max(0, len(texts) - 1))
+    return by.join(texts)
+
+
+def _replaced(v: str, a: str, b: str) -> str:
+    _bounded(len(v) + v.count(a) * max(0, len(b) - len(a)))
+    return v.replace(a, b)
 
 
 def _times(a: Any, b: Any) -> Any:
@@ -110,8 +134,8 @@ def _modulo(a: Any, b: Any) -> Any:
 
 
 BINARY: dict[str, Callable[[Any, Any], Any]] = {
-    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": _times, "/": lambda a, b: a / b, "//": lambda a, b: a // b, "%": _modulo,
-    "~": lambda a, b: text_of(a) + text_of(b), "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
+    "+": lambda a, b: _added(a, b), "-": lambda a, b: a - b, "*": _times, "/": lambda a, b: a / b, "//": lambda a, b: a // b, "%": _modulo,
+    "~": lambda a, b: _added(text_of(a), text_of(b)), "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
     "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "not in": lambda a, b: a not in b,
 }
 _LEVELS = (("==", "!=", "<", ">", "<=", ">=", "in", "not in"), ("+", "-", "~"), ("*", "/", "//", "%"))

@@ -31,9 +31,15 @@ SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster,
+    whose machines would each have another, that is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         given = tempfile.mkdtemp(prefix="inkwell-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(given)

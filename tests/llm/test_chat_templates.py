@@ -53,3 +53,11 @@ def test_conversations(spark):
     assert C.render_conversations(df.limit(0)).collect() == []
     with pytest.raises(C.TemplateError):
         C.render_conversations(df, "{% if %}")
+
+
+@pytest.mark.parametrize("line", ["{% set a = a ~ a %}", "{% set a = a + a %}", "{% set a = a|replace('x', 'xx') %}", "{% set a = [a, a]|join %}"])
+def test_values_have_a_bound(monkeypatch, line):
+    monkeypatch.setattr(C, "MOST", 1000)
+    assert C.compiled("{% set a = 'xx' %}" + line * 8)({})[0] == ""
+    with pytest.raises(C.TemplateError):
+        C.compiled("{% set a = 'xx' %}" + line * 40)({})
