@@ -15,7 +15,7 @@ their features stay in the executors' partitions, and the weights have a fixed
 size (a number for each bucket).
 
 Cases: an empty, very short or null text has no features, the score of the bias
-alone, and isn't toxic; a very long text is trained on and scored whole, in
+alone, and isn't toxic, as any text whose n-grams don't speak for it; a very long text is trained on and scored whole, in
 memory that grows with that one text; rows without identifier are scored, with a null one; repeated rows are scored
 each; labels that are null, or whose document is missing, aren't used; several
 labels of a document count each; where there are not both kinds of labels,
@@ -245,14 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def scores(texts: pa.Array, w: np.ndarray, b: float, lengths: tuple[int, ...], buckets: int, cut: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's score, and whether it is toxic; one without features isn't."""
+    """Each text's score, and whether it is toxic; one whose features don't speak for it isn't, whatever the bias."""
     out, toxic = np.zeros(len(texts)), np.zeros(len(texts), bool)
     if b == float("-inf"):
         return out, toxic
     for lo, hi, data, at in text_slices(texts):
         f, f_at = features(data, at, lengths, buckets)
-        out[lo:hi] = b + linear.row_sums(w[f], f_at)
-        toxic[lo:hi] = (out[lo:hi] >= cut) & (np.diff(f_at) > 0)
+        evidence = linear.row_sums(w[f], f_at)
+        out[lo:hi] = b + evidence
+        toxic[lo:hi] = (out[lo:hi] >= cut) & (evidence > 0)
     return out, toxic
 
 

@@ -96,8 +96,10 @@ def test_run_is_the_stages(spark):
 
 def test_rows_of_every_kind(spark, tmp_path):
     insult = "you vile hateful slurry filth "
-    rows = [(k, insult * 3 if k % 2 else f"a kind calm river walk number {k} by the {k * k} trees and hills of {k * 7}", "s", "en", 20) for k in range(60)]
-    rows += [(100, None, None, None, None), (101, "", "s", "en", 0), (102, "", "s", "en", 0), (None, "a quiet text of no name", "s", "en", 3), (103, "calm river " * 50_000, None, "en", 9), (104, "calm river " * 50_000, "t", "en", 9), (2, "a kind calm river walk number 2 by the 4 trees and hills of 14", "s", "en", 20)]
+    # unlike one another: with fewer words of their own MinHash takes some for near copies
+    calm = lambda k: f"a kind calm river walk number {k} by the {k * k} trees and hills of {k * 7} " + " ".join(f"meadow{k * 31 + j}" for j in range(20))
+    rows = [(k, insult * 3 if k % 2 else calm(k), "s", "en", 20) for k in range(60)]
+    rows += [(100, None, None, None, None), (101, "", "s", "en", 0), (102, "", "s", "en", 0), (None, "a quiet text of no name", "s", "en", 3), (103, "calm river " * 50_000, None, "en", 9), (104, "calm river " * 50_000, "t", "en", 9), (2, calm(2), "s", "en", 20)]
     kind = "doc_id bigint, text string, source string, lang string, n_chars bigint, ink_k string, i bigint, t string, ink_copies int, ink_source string, ink_node int"
     docs = spark.createDataFrame([(*r, "clash", 0, None, 7, "clash", 1) for r in rows], kind)
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
