@@ -35,6 +35,7 @@ go together; an empty table gives no rows; other columns aren't looked at.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,8 @@ SEED = 20
 LIST, BLOCK = 64, 1024
 #: Pairs of a cell that are compared at once.
 CELLS = 1 << 19
+#: Signatures whose postings are in one batch: a batch of Spark's 10,000 would be 20 MB, held by a worker and its executor.
+POSTED = 512
 
 
 def functions_of(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +129,20 @@ def classes_of(docs: DataFrame, text: str, doc_id: str, coordinates: int, shingl
     return slim.join(all_of.select("h", "p"), "h").select("i", "p"), all_of.select("p", "sig", "rep", "members")
 
 
+def postings(b: pa.RecordBatch, coordinates: int) -> Iterator[pa.RecordBatch]:
+    """(p, key) of every coordinate of some signatures, POSTED signatures at a time."""
+    order = np.arange(coordinates, dtype=np.int64) << 32
+    for lo in range(0, b.num_rows, POSTED):
+        some = b.slice(lo, POSTED)
+        sig = _signed(some.column(1), coordinates)
+        yield pa.record_batch([np.repeat(some.column(0).to_numpy(), coordinates), (sig.astype(np.int64) | order).ravel()], names=["p", "key"])
+
+
 def posted(signed: DataFrame, coordinates: int, threshold: int) -> DataFrame:
     """(p, k, key, n): the coordinates under which signatures are posted, and how many have that value there."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.arange(coordinates, dtype=np.int64) << 32
-        for b in batches:
-            sig = _signed(b.column(1), coordinates)
-            yield pa.record_batch([np.repeat(b.column(0).to_numpy(), coordinates), (sig.astype(np.int64) | order).ravel()], names=["p", "key"])
+        return itertools.chain.from_iterable(postings(b, coordinates) for b in batches)
 
     each = signed.select("p", "sig").mapInArrow(post, "p bigint, key bigint")
     lists = each.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

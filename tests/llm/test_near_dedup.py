@@ -127,6 +127,18 @@ def test_signatures_are_those_of_plain_integers():
         assert got.tolist() == [min(((x >> 32) * int(a[k]) + int(b[k])) % (1 << 32) for x in s) for k in range(N.COORDINATES)]
 
 
+def test_postings_come_in_bounded_batches():
+    """All coordinates of all signatures, a bounded number of rows at a time however many Spark sends at once."""
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 1 << 32, (10_000, N.COORDINATES), dtype=np.uint64).astype(np.uint32)
+    b = pa.record_batch([pa.array(range(10_000), pa.int64()), N._binary(sig)], names=["p", "sig"])
+    batches = list(N.postings(b.slice(1), N.COORDINATES))
+    assert max(x.num_rows for x in batches) <= 1 << 16
+    p, key = (np.concatenate([x.column(k).to_numpy() for x in batches]) for k in range(2))
+    assert (p == np.repeat(np.arange(1, 10_000), N.COORDINATES)).all()
+    assert (key >> 32 == np.tile(np.arange(N.COORDINATES), 9999)).all() and (key & 0xFFFFFFFF == sig[1:].ravel()).all()
+
+
 def pairs(df):
     """Pairs of documents of one class; only for classes of two."""
     of = {}
