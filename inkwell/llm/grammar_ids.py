@@ -1,14 +1,15 @@
 """Token ids as grammars: Re-Pair compression of shards, with random access.
 
 Texts are encoded by a public byte-level BPE vocabulary, whole shards of
-documents at a time.  In each round the pairs of neighbouring ids of a shard
-are counted, and every one that is at least a quarter as frequent as the most
-frequent is replaced by a nonterminal of its own; where two of them overlap the
-more frequent one wins.  Pairs never reach over a document's end, and occurrences
-that overlap count once.  Rounds go on until no pair occurs twice (`min_count`;
-or for `rounds`, if given); where hashed counts find few, pairs are counted
-exactly.  As several pairs are replaced in a round, the grammar isn't that of the
-sequential algorithm, but no larger than 1.05 times that on the tested inputs.
+documents at a time.  Pairs of neighbouring ids of a shard are counted, and
+every one that is at least half as frequent as the most frequent is replaced by a
+nonterminal of its own; where two of them overlap the more frequent one wins.
+That is repeated, for the places whose pairs are that frequent and those next to
+new nonterminals, until no pair is; then all pairs are counted anew.  Pairs never
+reach over a document's end, and occurrences that overlap count once.  Rounds go
+on until no pair occurs twice (`min_count`; or for `rounds`, if given).  As
+several pairs are replaced in a round, the grammar isn't that of the sequential
+algorithm, but no larger than 1.05 times that on the tested inputs.
 
 A shard is one row: its alphabet (the terminals that occur, then a rule for
 each nonterminal), every symbol's expansion length, the sequence in 2 or 4
@@ -25,7 +26,6 @@ an empty result; other columns aren't looked at.
 from __future__ import annotations
 
 import base64
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,6 +187,22 @@ def _matching(rank: np.ndarray, touches: np.ndarray) -> np.ndarray:
     return wins
 
 
+def _grouped(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of some pairs, equal for equal ones and from 0 on, and the first place of each number."""
+    bits, most = max(1, symbols.bit_length()), max(1, len(left).bit_length())
+    key = left.astype(np.int64) << bits | right
+    if 2 * bits + most > 63:
+        _, first, number = np.unique(key, return_index=True, return_inverse=True)
+        return number, first
+    key = np.sort(key << most | np.arange(len(key)))  # a place in the low bits: sorted numbers are faster than sorted places
+    place = key & ((1 << most) - 1)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] >> most) != (key[:-1] >> most)
+    number = np.empty(len(key), np.int64)
+    number[place] = np.cumsum(new) - 1
+    return number, place[new]
+
+
 def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terminals, rules, sequence, documents' begins in it): symbols count the terminals first, then the rules."""
     min_count = max(2, min_count)  # a pair that occurs once can't be shortened
@@ -196,75 +212,52 @@ def compress(ids: np.ndarray, at: np.ndarray, rounds: int | None = None, min_cou
     dense = dense[ids]
     n_docs, symbols = len(at) - 1, len(terminals)
     seq = np.empty(len(ids) + n_docs, np.int32)
-    seq[at[1:] + np.arange(n_docs)] = -1 - np.arange(n_docs)  # every document ends with a negative of its own: no pair with one occurs twice
+    seq[at[1:] + np.arange(n_docs)] = -1 - np.arange(n_docs)  # every document ends with a negative of its own: no pair with one is counted
     seq[np.arange(len(ids)) + np.repeat(np.arange(n_docs), np.diff(at))] = dense
     rules: list[np.ndarray] = []
-    table, shift = 1 << TABLE_BITS, np.uint32(32 - TABLE_BITS)
-    number = np.zeros(table, np.int32)
-    exact = False
-    for k in itertools.count() if rounds is None else range(rounds):
-        k %= 1 << 16
+    shift, bar, done = np.uint32(32 - TABLE_BITS), len(seq) + 1, 0
+    while bar > min_count and (rounds is None or done < rounds):
         left, right = seq[:-1], seq[1:]
-        slot = (((left.view(np.uint32) * np.uint32(0x9E3779B1 + 2 * k) + right.view(np.uint32)) * np.uint32(0x85EBCA6B + 2 * k)) >> shift).astype(np.int64)
-        # slots count all their pairs; only the places of those that count enough are looked at
-        upto = np.bincount(slot, minlength=table)
-        most = int(upto.max(initial=0))
-        if most < min_count:
-            break
-        enough = upto >= (min_count if exact else max(min_count, most >> 2))
-        some = np.flatnonzero(enough)
-        number[some] = np.arange(len(some), dtype=np.int32)
-        places = np.flatnonzero(enough[slot])
-        if exact:  # every pair of its own
-            places = places[(left[places] >= 0) & (right[places] >= 0)]
-            some, first, slot = np.unique(left[places].astype(np.int64) << 32 | right[places], return_index=True, return_inverse=True)
+        slot = (((left.view(np.uint32) * np.uint32(0x9E3779B1) + right.view(np.uint32)) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64)
+        # a slot counts all its pairs, none of which is more frequent; only the places of slots that count enough are looked at
+        upto = np.bincount(slot, minlength=1 << TABLE_BITS)
+        bar = max(min_count, min(bar - 1, int(upto.max(initial=0))) >> 1)
+        places = np.flatnonzero((upto >= bar)[slot])
+        # replacing makes no pair more frequent but those with the new symbols, so that these places and those next to new symbols are all that counts until the bar falls
+        while rounds is None or done < rounds:
+            places = places[(seq[places] >= 0) & (seq[places + 1] >= 0)]
+            slot, first = _grouped(seq[places], seq[places + 1], symbols)
             held = places[first]
-        else:
-            slot = number[slot[places]]
-            # a slot stands for one pair, that of the last place written to it; others get a slot under another round's hash
-            held = np.zeros(len(some), np.int64)
-            held[slot] = places
-            rep = held[slot]
-            counted = (left[rep] == left[places]) & (right[rep] == right[places])
-            places, slot = places[counted], slot[counted]
-        # in a run of one id only every second place can be replaced
-        follows = np.concatenate([[False], (places[1:] == places[:-1] + 1) & (slot[1:] == slot[:-1])]) if len(places) else np.zeros(0, bool)
-        heads = np.flatnonzero(~follows)
-        odd = ((np.arange(len(places)) - heads[np.cumsum(~follows) - 1]) & 1).astype(bool) if len(places) else follows
-        count = np.bincount(slot[~odd], minlength=len(some))
-        most = int(count.max(initial=0))
-        if exact and most < min_count:
-            break
-        if not exact and most < 2 * min_count:  # others may hide in slots of several pairs
-            exact = True
-            continue
-        often = count[slot]
-        chosen = often >= max(min_count, most >> 2)
-        places, rank = places[chosen], (often[chosen] << 32) | slot[chosen]
-        # neighbours overlap; a stretch of one rank is a run of one id, of which every second place is taken
-        near = places[1:] == places[:-1] + 1
-        begins = np.concatenate([[True], ~(near & (rank[1:] == rank[:-1]))])
-        stretch = np.cumsum(begins) - 1
-        first = np.flatnonzero(begins)
-        r, touches = rank[first], near[first[1:] - 1]
-        wins = _matching(r, touches)
-        take = wins[stretch] & ((np.arange(len(places)) - first[stretch]) & 1 == 0)
-        places, slot = places[take], (rank[take] & 0xFFFFFFFF)
-        taken = np.bincount(slot, minlength=len(some))
-        kept = taken[slot] >= 2
-        places, slot = places[kept], slot[kept]
-        if not len(places):
-            exact = True
-            continue
-        used = np.flatnonzero(np.bincount(slot, minlength=len(some)))
-        name = np.zeros(len(some), np.int32)
-        name[used] = symbols + np.arange(len(used), dtype=np.int32)
-        rules.append(np.stack([left[held[used]], right[held[used]]], axis=1))
-        symbols += len(used)
-        gone = np.ones(len(seq), bool)
-        gone[places + 1] = False
-        seq[places] = name[slot]
-        seq = seq[gone]
+            # in a run of one id only every second place can be replaced
+            follows = np.concatenate([[False], (places[1:] == places[:-1] + 1) & (slot[1:] == slot[:-1])]) if len(places) else np.zeros(0, bool)
+            heads = np.flatnonzero(~follows)
+            odd = ((np.arange(len(places)) - heads[np.cumsum(~follows) - 1]) & 1).astype(bool) if len(places) else follows
+            often = np.bincount(slot[~odd], minlength=len(held))[slot]
+            chosen = often >= bar
+            if not chosen.any():
+                break
+            places, rank = places[chosen], (often[chosen] << 32) | slot[chosen]
+            # neighbours overlap; a stretch of one rank is a run of one id, of which every second place is taken
+            near = places[1:] == places[:-1] + 1
+            begins = np.concatenate([[True], ~(near & (rank[1:] == rank[:-1]))])
+            stretch = np.cumsum(begins) - 1
+            first = np.flatnonzero(begins)
+            wins = _matching(rank[first], near[first[1:] - 1])
+            take = wins[stretch] & ((np.arange(len(places)) - first[stretch]) & 1 == 0)
+            taken, slot = places[take], rank[take] & 0xFFFFFFFF
+            kept = np.bincount(slot, minlength=len(held))[slot] >= 2  # those of the most frequent pair are
+            taken, slot = taken[kept], slot[kept]
+            used = np.flatnonzero(np.bincount(slot, minlength=len(held)))
+            name = np.zeros(len(held), np.int32)
+            name[used] = symbols + np.arange(len(used), dtype=np.int32)
+            rules.append(np.stack([seq[held[used]], seq[held[used] + 1]], axis=1))
+            symbols += len(used)
+            left_over, counts = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+            counts[places] = counts[taken] = counts[taken - 1] = True
+            counts[-1] = left_over[taken + 1] = False  # the last is a document's end
+            seq[taken] = name[slot]
+            seq, places = seq[left_over], np.flatnonzero(counts[left_over])
+            done += 1
     ends = np.flatnonzero(seq < 0)
     begins_at = np.concatenate([[0], ends - np.arange(n_docs)]).astype(np.int64)
     return terminals.astype(np.int32), np.concatenate(rules or [np.zeros((0, 2), np.int32)]), seq[seq >= 0], begins_at

@@ -125,3 +125,36 @@ def test_runs_of_one_id_come_to_an_end(ids):
     terminals, rules, seq, begins = G.compress(ids, np.array([0, len(ids)]))
     assert G.expand(seq, terminals, rules).tolist() == ids.tolist()
     assert max(nonoverlapping(seq.tolist(), begins.tolist()).values(), default=0) < 2
+
+
+def test_all_places_are_counted_only_when_the_bar_falls(monkeypatch):
+    """A long passage takes many rounds, which only look at its places."""
+    rng = np.random.default_rng(3)
+    passage = rng.permutation(5000)[:1500]
+    words = [rng.integers(5000, 9000, rng.integers(2, 30)) for _ in range(2000)]
+    ids = np.concatenate([x for k in range(60) for x in (passage, *(words[j] for j in rng.zipf(1.3, 60) % 2000))]).astype(np.int32)
+    at, passes, bincount = np.array([0, len(ids) // 2, len(ids)]), [], np.bincount
+
+    def counted(x, *args, **how):
+        passes.extend([len(x)] if how.get("minlength") == 1 << G.TABLE_BITS else [])
+        return bincount(x, *args, **how)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    terminals, rules, seq, begins = G.compress(ids, at)
+    monkeypatch.undo()
+    assert (G.expand(seq, terminals, rules) == ids).all()
+    assert max(nonoverlapping(seq.tolist(), begins.tolist()).values()) < 2
+    most = max(nonoverlapping(ids.tolist(), at.tolist()).values())
+    assert 0 < len(passes) <= np.log2(most) + 2
+
+
+@pytest.mark.parametrize("symbols", [500, 1 << 30])
+def test_pairs_are_numbered_as_they_are(symbols):
+    """Also where symbols and places are too many for one integer."""
+    rng = np.random.default_rng(4)
+    left, right = rng.integers(0, 40, (2, 3000)).astype(np.int32) + np.int32(symbols - 40)
+    number, first = G._grouped(left, right, symbols)
+    pairs = list(zip(left.tolist(), right.tolist(), strict=True))
+    assert len(first) == len(set(pairs)) and [pairs[first[n]] for n in number] == pairs
+    none, first = G._grouped(left[:0], right[:0], symbols)
+    assert len(none) == len(first) == 0
