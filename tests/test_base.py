@@ -8,6 +8,7 @@ import pytest
 
 from inkwell import cli
 from inkwell.base import KnowledgeBase
+from inkwell.sources import projects
 from inkwell.streaming import notes as streaming
 
 LONG = "long enough to be kept as a section of a report"
@@ -157,3 +158,13 @@ def test_files_that_keep_coming(base, tmp_path):
     streaming.watch(base, str(folder), str(tmp_path / "state")).awaitTermination()
     row = base.notes().first()
     assert (row["title"], row["topics"], base.notes().count(), base.version()) == ("B", ["t", "u"], 1, 2)
+
+
+def test_materials_are_found_without_joins(spark, tmp_path):
+    p = project(tmp_path / "p", "t", {n: material(n, f"https://{n}.test") for n in ("b.md", "a.md")})
+    q = project(p / "subprojects" / "q", "u", {n: material(n, f"https://{n}.test") for n in ("b.md", "a.md", ".md")})
+    (q / "materials/index.json").write_text(json.dumps({"entries": [{"status": "fetched", "file": "b.md"}, {"status": "failed"}, {"status": "fetched", "file": "a.md"}]}))
+    found = projects.material_files(spark, projects.discover(p))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["project"], r["pseq"], r["mseq"], r["path"].rpartition("/")[2]) for r in found.collect())
+    assert got == [("p", 0, 0, "a.md"), ("p", 0, 1, "b.md"), ("p/q", 1, 0, "b.md"), ("p/q", 1, 2, "a.md")]
