@@ -220,8 +220,11 @@ def merge_notes(existing: DataFrame, notes: DataFrame, now: str, preserve: bool
         *[F.when(came & ~F.lit(preserve), F.lit(None)).otherwise(F.col(f"old_{f}")).alias(f) for f in stays],
         F.when(came, F.lit(now)).otherwise(F.col("old_ingested_at")).alias("ingested_at"), F.col("new.at").alias("at"), came.alias("came"),
     )
+    result = cut(result)
+    at = [F.col("at") == F.col("b_seq")]
     bodies = notes.where(_value("url") != "").select(F.col("seq").alias("b_seq"), T.strip(F.col("body")).alias("body"))
-    fresh = bodies.join(result.where("came"), F.col("at") == F.col("b_seq"))
+    came_here = result.where("came")
+    fresh = _wanted(bodies, came_here.select("at"), at).join(came_here, at)
     return shaped(fresh).unionByName(shaped(_with_old_bodies(result.where(~F.col("came")), existing)))
 
 

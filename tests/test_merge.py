@@ -129,3 +129,16 @@ def test_index_and_topic_notes(spark):
     made = {r["project"]: r for r in index.topic_notes(runs, links, "now").collect()}
     assert made["p"]["body"] == "sum\n\n## Sources\n\n- [[s1]] — S1\n- [[s2]] — S2" and made["p"]["source_count"] == 2
     assert made["q"]["body"] == "## Sources\n\n*(none downloaded)*" and made["q"]["stem"] != made["p"]["stem"]
+
+
+@pytest.mark.parametrize("kind", ["notes", "runs"])
+def test_texts_that_lose_stay_where_they_are_read(spark, kind):
+    rows = [("p", 0, k, "s", {"url": f"https://{k % 2}.test"}, f"text {k}") for k in range(6)]
+    texts = spark.createDataFrame(rows, "project string, pseq bigint, mseq bigint, stem string, meta map<string,string>, body string")
+    if kind == "notes":
+        out = merge.merge_notes(N.empty(spark), texts.withColumnRenamed("mseq", "seq"), "now")
+    else:
+        runs = spark.createDataFrame([("p", 0, "t")], "project string, pseq bigint, topic string")
+        out = merge.merge_runs(N.empty(spark), texts, runs, index.run_titles(N.empty(spark)), "now")[0]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["body"] for r in out.collect()) == ["text 4", "text 5"]
